@@ -10,9 +10,7 @@ WHITESPACE = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0        "
     "        　"
 )
-WHITESPACE_RUN = (
-    r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
-)
+WHITESPACE_RUN = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
 COMMUNITY_PATTERN = "/r/([^/]+)/"
 TITLE_CHARS = 80
 TEXT_MODES = ("text", "title_text")
