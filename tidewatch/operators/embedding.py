@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,30 +36,34 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Hashed one- and two-word counts, weighted by inverse document frequency, length one.
 
-    Runs on the JVM; the only pass over the corpus is the document-frequency sum of ``dim`` counts.
-    ``fit_on`` fixes the document frequencies to one corpus; otherwise they come from the input.
+    Runs on the JVM. ``fit`` makes one pass that sums ``dim`` document counts and freezes them; the
+    model name carries a digest of the fit, so stored vectors of different fits never mix.
     """
 
     dim: int = VECTOR_DIM
-    fit_on: DataFrame | None = None
+    idf: IDFModel | None = None
 
     @property
     def model_name(self) -> str:
-        return f"hashing-tfidf-{self.dim}"
-
-    def _terms(self, df: DataFrame, text: str) -> DataFrame:
-        stages = [
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}_]+", gaps=False, toLowercase=True),
-            NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        ]
-        with_words = Pipeline(stages=stages).fit(df).transform(df)
-        joined = with_words.withColumn("_terms", F.concat("_words", "_pairs"))
+        if self.idf is None:
+            return f"hashing-tfidf-{self.dim}"
+        rounded = np.round(self.idf.idf.toArray(), 9)
+        return f"hashing-tfidf-{self.dim}-{hashlib.md5(rounded.tobytes()).hexdigest()[:8]}"
+
+    def _counts(self, df: DataFrame, text: str) -> DataFrame:
+        words = RegexTokenizer(
+            inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}_]+", gaps=False, toLowercase=True
+        ).transform(df)
+        pairs = NGram(n=2, inputCol="_words", outputCol="_pairs").transform(words)
+        joined = pairs.withColumn("_terms", F.concat("_words", "_pairs"))
         return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=self.dim).transform(joined)
 
+    def fit(self, df: DataFrame, text: str = "text") -> "HashingEmbedder":
+        return HashingEmbedder(self.dim, IDF(inputCol="_tf", outputCol="_idf").fit(self._counts(df, text)))
+
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        counts = self._terms(df, text)
-        source = self._terms(self.fit_on, text) if self.fit_on is not None else counts
-        weighted = IDF(inputCol="_tf", outputCol="_idf").fit(source).transform(counts)
+        fitted = self if self.idf is not None else self.fit(df, text)
+        weighted = fitted.idf.transform(self._counts(df, text))
         scaled = Normalizer(p=2.0, inputCol="_idf", outputCol="_unit").transform(weighted)
         return scaled.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
             "_words", "_pairs", "_terms", "_tf", "_idf", "_unit"
@@ -84,11 +89,14 @@ class FunctionEmbedder:
         return df.mapInPandas(run, schema)
 
 
-def embed_corpus(posts: DataFrame, embedder: Embedder | None = None, text_mode: str = "text", id_column: str = "post_id") -> DataFrame:
+def embedding_texts(posts: DataFrame, text_mode: str = "text") -> DataFrame:
+    return posts.select("post_id", tx.embedding_text(text_mode, F.col("title"), F.col("text")).alias("text"))
+
+
+def embed_corpus(posts: DataFrame, embedder: Embedder | None = None, text_mode: str = "text") -> DataFrame:
     """``post_id, embedding`` for every post."""
     embedder = embedder or HashingEmbedder()
-    texts = posts.select(F.col(id_column), tx.embedding_text(text_mode, F.col("title"), F.col("text")).alias("text"))
-    return embedder.transform(texts).select(id_column, "embedding")
+    return embedder.transform(embedding_texts(posts, text_mode)).select("post_id", "embedding")
 
 
 def missing_ids(posts: DataFrame, stored: DataFrame, id_column: str = "post_id") -> DataFrame:
@@ -129,11 +137,13 @@ def embed_corpus_cached(
     Another model or text mode is another partition of the store, so vectors never mix.
     """
     embedder = embedder or HashingEmbedder()
+    if isinstance(embedder, HashingEmbedder) and embedder.idf is None:
+        embedder = embedder.fit(embedding_texts(posts, text_mode))
     stored = read_store(posts, path, embedder.model_name, text_mode)
     todo = posts if stored is None else missing_ids(posts, stored)
     fresh = embed_corpus(todo, embedder, text_mode)
-    if not write_store(fresh, path, embedder.model_name, text_mode):
-        wanted = fresh
-        return wanted if stored is None else wanted.unionByName(stored.join(posts.select("post_id"), "post_id", "left_semi"))
-    full = read_store(posts, path, embedder.model_name, text_mode)
-    return posts.select("post_id").join(full, "post_id")
+    if write_store(fresh, path, embedder.model_name, text_mode):
+        known = read_store(posts, path, embedder.model_name, text_mode)
+    else:
+        known = fresh if stored is None else stored.unionByName(fresh)
+    return posts.select("post_id").join(known, "post_id")
