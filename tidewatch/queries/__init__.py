@@ -4,7 +4,7 @@ from tidewatch.queries.registry import QUERIES, SQL
 
 
 def load_all() -> None:
-    from tidewatch.queries import ingest, trend  # noqa: F401
+    from tidewatch.queries import bursts, ingest, quality, trend  # noqa: F401
 
 
 __all__ = ["QUERIES", "SQL", "load_all"]
