@@ -4,7 +4,7 @@ from tidewatch.queries.registry import QUERIES, SQL
 
 
 def load_all() -> None:
-    from tidewatch.queries import bursts, ingest, quality, streams, trend, vectors  # noqa: F401
+    from tidewatch.queries import bursts, clustering, ingest, quality, streams, trend, vectors  # noqa: F401
 
 
 __all__ = ["QUERIES", "SQL", "load_all"]
