@@ -168,8 +168,8 @@ def sweep_online(spark, sf):
 
 
 # Sweep tables on given scores: users stand in for similarity cells and event numbers for half-lives.
-SQL_CELLS = f"""src AS (SELECT [0.45, 0.55, 0.65, 0.75]::DOUBLE[][user_id % 4 + 1] AS similarity_threshold,
-    [6.0, 24.0, 72.0]::DOUBLE[][event_id % 3 + 1] AS half_life_hours, 'text' AS text_mode, event_type, user_id, value FROM events),
+SQL_CELLS = f"""src AS (SELECT ([0.45, 0.55, 0.65, 0.75]::DOUBLE[])[user_id % 4 + 1] AS similarity_threshold,
+    ([6.0, 24.0, 72.0]::DOUBLE[])[event_id % 3 + 1] AS half_life_hours, 'text' AS text_mode, event_type, user_id, value FROM events),
   {scores_sql('src', 'event_type', 'user_id', 'similarity_threshold, half_life_hours, text_mode, ')},
   f AS (SELECT similarity_threshold, half_life_hours, text_mode, round(avg(value) / 40, 6) AS burst_f1 FROM src GROUP BY ALL),
   sweep AS (SELECT similarity_threshold, half_life_hours, text_mode, ari, nmi, n_clusters, burst_f1,
