@@ -55,5 +55,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Vector scaled to length one; a zero vector stays as it is."""
-    square = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return F.transform(v, lambda x: F.when(square > 0, x.cast("double") / F.sqrt(square)).otherwise(x.cast("double")))
+    doubles = v.cast("array<double>")
+
+    def scaled(square: Column) -> Column:
+        return F.when(square > 0, F.transform(doubles, lambda x: x / F.sqrt(square))).otherwise(doubles)
+
+    # the sum is bound once as the variable of the last step, not worked out again per entry
+    return F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x, scaled)

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 # White space as the Unicode standard lists it, for trimming and for squeezing.
 WHITESPACE = (
-    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0        "
-    "        　"
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
 COMMUNITY_PATTERN = "/r/([^/]+)/"
 TITLE_CHARS = 80
 TEXT_MODES = ("text", "title_text")
@@ -23,7 +22,8 @@ def stripped(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WHITESPACE_RUN, " "))
+    blanks = F.translate(F.coalesce(c, F.lit("")), WHITESPACE, " " * len(WHITESPACE))
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def is_blank(c: Column) -> Column:
@@ -51,8 +51,8 @@ def content_id(prefix: str, *parts: Column) -> Column:
 
 
 def joined_parts(*parts: Column) -> Column:
-    """Non-empty parts separated by one blank."""
-    return F.concat_ws(" ", *[F.when(p != "", p) for p in parts])
+    """Non-empty ones of two squeezed parts, separated by one blank."""
+    return F.trim(F.concat_ws(" ", *parts))
 
 
 def embedding_text(text_mode: str, title: Column, text: Column) -> Column:

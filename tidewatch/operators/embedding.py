@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import text as tx
+from tidewatch.runtime import spread
 
 LOGGER = logging.getLogger(__name__)
 
@@ -96,7 +97,8 @@ def embedding_texts(posts: DataFrame, text_mode: str = "text") -> DataFrame:
 def embed_corpus(posts: DataFrame, embedder: Embedder | None = None, text_mode: str = "text") -> DataFrame:
     """``post_id, embedding`` for every post."""
     embedder = embedder or HashingEmbedder()
-    return embedder.transform(embedding_texts(posts, text_mode)).select("post_id", "embedding")
+    texts = spread(embedding_texts(posts, text_mode))
+    return embedder.transform(texts).select("post_id", "embedding")
 
 
 def missing_ids(posts: DataFrame, stored: DataFrame, id_column: str = "post_id") -> DataFrame:

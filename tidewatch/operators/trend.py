@@ -19,19 +19,22 @@ def trend_features(history: DataFrame, p: TrendParams, keys: list[str] | None =
     """Adds ``velocity, growth_rate, burst_z`` over the last ``window_size`` snapshots of each row."""
     keys = keys or ["cluster_id"]
     ordered = W.partitionBy(*keys, "life").orderBy("g")
+    so_far = ordered.rowsBetween(W.unboundedPreceding, 0)
     recent = ordered.rowsBetween(-(p.window_size - 1), 0)
-    first_weight = F.first("weight").over(recent)
-    elapsed = (F.col("g") - F.first("g").over(recent)) * F.lit(p.interval_micros / 1_000_000.0)
+    # snapshots of a life are consecutive grid points, so the oldest one in the window is a fixed
+    # number of rows back, or the first of the life
+    steps = F.least(F.col("g") - F.first("g").over(so_far), F.lit(p.window_size))
+    back = F.least(F.col("_n"), F.lit(p.window_size - 1))
+    oldest = F.coalesce(F.lag("weight", p.window_size - 1).over(ordered), F.first("weight").over(so_far))
     gain = F.col("weight") - F.col("_first")
-    step = (F.col("weight") - F.lag("weight").over(ordered)) / F.greatest(F.lag("weight").over(ordered), F.lit(scoring.EPS))
+    before = F.lag("weight").over(ordered)
+    step = (F.col("weight") - before) / F.greatest(before, F.lit(scoring.EPS))
     sd = F.col("_sd")
     return (
-        history.withColumn("_first", first_weight)
-        .withColumn("_elapsed", elapsed)
-        .withColumn("_step", step)
+        history.withColumns({"_first": oldest, "_n": steps, "_step": step})
+        .withColumn("_elapsed", back * F.lit(p.interval_micros / 1_000_000.0))
         .withColumn("_mean", F.avg("_step").over(recent))
         .withColumn("_sd", F.stddev_samp("_step").over(recent))
-        .withColumn("_n", F.count("_step").over(recent))
         .withColumn("velocity", F.when(F.col("_elapsed") > 0, gain / F.col("_elapsed")).otherwise(0.0))
         .withColumn(
             "growth_rate",

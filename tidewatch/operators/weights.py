@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import times
+from tidewatch.runtime import by_key
 from tidewatch.schema import TrendParams
 
 # Sums are kept relative to the start of an epoch of this many half-lives: 2^400 times any row
@@ -62,7 +63,8 @@ def cell_weights(cells: DataFrame, p: TrendParams, keys: list[str]) -> DataFrame
     within = W.partitionBy(*keys, "_epoch").orderBy("g").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_epoch").rangeBetween(-1, -1)
     return (
-        cells.withColumn("_epoch", times.floor_div(F.col("g"), steps))
+        by_key(cells, *keys)
+        .withColumn("_epoch", times.floor_div(F.col("g"), steps))
         .withColumn("_k", (F.col("g") - F.col("_epoch") * steps) * F.lit(rate))
         .withColumn("_scaled", F.col("mass") * _pow2(F.col("_k")))
         .withColumn("_here", F.sum("_scaled").over(within))

@@ -19,7 +19,7 @@ from tidewatch.queries.registry import (
     rounded,
     table,
 )
-from tidewatch.runtime import scratch_path
+from tidewatch.runtime import scratch_path, spread
 from tidewatch.sources import corpus, readers, submissions
 
 
@@ -145,7 +145,7 @@ def merge_master(spark, sf):
       lang AS source FROM documents""",
 )
 def normalized_text(spark, sf):
-    raw = table(spark, sf, "documents").select(
+    raw = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"),
         F.concat_ws("\n", "lang", "source").alias("title"),
         F.col("text").alias("selftext"),

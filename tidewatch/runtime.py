@@ -80,3 +80,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the table has fewer files than the session has cores.
+
+    For work that is heavy per row; a table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """The shuffle a window or grouped function over ``keys`` needs, at full width.
+
+    Adaptive execution would merge partitions by their size; where each row grows or costs much
+    after the shuffle, all partitions are wanted.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

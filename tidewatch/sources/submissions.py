@@ -15,11 +15,12 @@ SUBMISSION_PREFIX, SUBMISSION_PLATFORM = "reddit_", "reddit"
 def parse_submissions(raw: DataFrame) -> DataFrame:
     """Squeezes title and body, joins what is left, drops rows without any text."""
     title, body = tx.squeezed(F.col("title")), tx.squeezed(F.col("selftext"))
-    return raw.select(
+    filled = raw.filter(~(tx.is_blank(F.col("title")) & tx.is_blank(F.col("selftext"))))
+    return filled.select(
         tx.prefixed_id(SUBMISSION_PREFIX, F.col("id")).alias("post_id"),
         title.alias("title"),
         tx.joined_parts(title, body).alias("text"),
         F.col("subreddit").cast("string").alias("source"),
         F.lit(SUBMISSION_PLATFORM).alias("platform"),
         times.from_epoch(F.col("created_utc")).alias("timestamp"),
-    ).filter(F.col("text") != "")
+    )
