@@ -15,13 +15,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every node links its
     larger neighbours, then its smaller ones, to its least neighbour, until nothing changes. Each
-    step is a grouped minimum and a join; each round is written out, so no lineage piles up.
+    step is a grouped minimum and a join; every second round is written out, so no lineage piles up.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
     pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _checksum(pairs)
     for _ in range(MAX_ROUNDS):
-        pairs = materialize(_small_star(_large_star(pairs)), "edges")
+        for _ in range(2):
+            pairs = _small_star(_large_star(pairs))
+        pairs = materialize(pairs, "edges")
         now = _checksum(pairs)
         if now == mark:
             break

@@ -24,6 +24,9 @@ from tidewatch.schema import TrendParams
 # count stays far below the largest double.
 EPOCH_HALF_LIVES = 400
 
+# Cells per snapshot interval where every post gets its own weight.
+POST_CELLS = 60
+
 
 def last_grid_number(df: DataFrame, p: TrendParams, ts: str = "timestamp") -> int | None:
     """Grid point at or after the newest time in ``df``; None when it is empty."""
@@ -119,11 +122,13 @@ def weight_history(
 def post_weights(assignments: DataFrame, p: TrendParams, keys: list[str] | None = None) -> DataFrame:
     """Adds to each post the weight of its cluster just after the post.
 
-    Two levels: the weight at the start of the post's grid cell comes from the cell table, the rest
-    from a window inside the cell, so no window ever spans all posts of one cluster.
+    Two levels: the weight at the start of the post's cell comes from the cell table, the rest from a
+    window inside the cell, so no window ever spans all posts of one cluster. The cells are a small
+    part of the snapshot interval, to keep the windows of a crowded cluster short.
     Posts of one instant are taken in ``post_id`` order.
     """
     keys = keys or ["cluster_id"]
+    p = p.with_(snapshot_interval_seconds=p.interval_seconds / POST_CELLS)
     rate = 1.0 / p.steps_per_half_life
     posts = assignments.withColumn("g", times.grid_number(F.col("timestamp"), p.interval_micros))
     cells = cell_weights(weight_cells(assignments, p, keys), p, keys)

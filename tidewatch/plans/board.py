@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,19 @@ def active_summary(posts: DataFrame, p: TrendParams, auto_calibrate: bool = Fals
     return summary.join(members, "cluster_id").orderBy("state", F.desc("growth_rate"), "cluster_id")
 
 
-def trend_board(posts: DataFrame, p: TrendParams, auto_calibrate: bool = False) -> DataFrame:
-    """Cards of all live clusters; the fastest growing ones carry a label."""
+def trend_board(
+    posts: DataFrame,
+    p: TrendParams,
+    auto_calibrate: bool = False,
+    labeler: Callable[[DataFrame], DataFrame] = labels.topic_labels,
+) -> DataFrame:
+    """Cards of all live clusters; the fastest growing ones carry a label.
+
+    ``labeler`` turns titles (``cluster_id, post_id, title``) into ``cluster_id, label, description``.
+    """
     summary = active_summary(posts, p, auto_calibrate)
     top = trend.top_clusters(summary, LABELLED_CLUSTERS, by="growth_rate").select("cluster_id")
     mine = posts.select("cluster_id", "post_id", "title", "timestamp").join(F.broadcast(top), "cluster_id", "left_semi")
     recent = labels.recent_titles(mine, keep=p.recent_titles)
-    named = labels.with_labels(summary, labels.topic_labels(recent))
+    named = labels.with_labels(summary, labeler(recent))
     return trend.board_order(named).drop("state_rank")

@@ -20,6 +20,23 @@ def evaluation_report(sections: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def full_report(
+    static: DataFrame | None = None,
+    dynamic: DataFrame | None = None,
+    burst: DataFrame | None = None,
+    sliding_window_burst: DataFrame | None = None,
+    sweep: DataFrame | None = None,
+) -> DataFrame:
+    """The report of an evaluation run from whichever results there are, with the best sweep row."""
+    sections = {"static": static, "dynamic": dynamic, "burst": burst, "sliding_window_burst": sliding_window_burst}
+    given = {name: df for name, df in sections.items() if df is not None}
+    if sweep is not None and not sweep.isEmpty():
+        given["sweep_best"] = best_row(sweep)
+    if not given:
+        raise ValueError("there are no results to report")
+    return evaluation_report(given)
+
+
 def best_row(sweep: DataFrame) -> DataFrame:
     """The winning row of a sweep; an empty sweep is an error."""
     ordered = sweep.orderBy(F.desc("combined_score"), "similarity_threshold", "half_life_hours", "text_mode")

@@ -54,11 +54,13 @@ def stream_online_clusters(spark, sf):
     return _founders(_run(stream_online.cluster_stream(_as_stream(posts, "vectors"), P, cell_bits=3), "assigned"))
 
 
-@query("online_clusters_in_chunks")
+@query("online_clusters_in_chunks", SQL_FOUNDERS)
 def online_clusters_in_chunks(spark, sf):
-    """The same posts through cells, time slices and joining, as a table too large for one chunk would go."""
-    found = online.online_clusters(topic_vectors(spark, sf), P, target_rows=2_000)
-    return found.groupBy("cluster_id").agg(F.count("*").alias("n_posts"))
+    """The same posts through cells, time slices and joining, as a table too large for one chunk would go.
+
+    Far apart topics come out the same either way.
+    """
+    return _founders(materialize(online.online_clusters(topic_vectors(spark, sf), P, target_rows=2_000), "assigned"))
 
 
 def _doc_vectors(spark, sf):

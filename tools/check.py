@@ -40,6 +40,7 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("names", nargs="*")
+    ap.add_argument("--no-sql", action="store_true")
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     args = ap.parse_args()
     spec = importlib.util.spec_from_file_location("entry", ROOT / "__spark_entry__.py")
@@ -65,7 +66,7 @@ def main() -> int:
             print(f"ERROR {name}: {type(error).__name__} {str(error)[:1500]}")
             continue
         took = time.time() - t0
-        if name not in sql:
+        if name not in sql or args.no_sql:
             print(f"rows  {name}: {len(got)} rows, {took:.1f}s")
             continue
         try:
