@@ -44,7 +44,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     linked = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.filter("u <> v").distinct()
+    return linked.filter("u <> v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
