@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.runtime import side_by_side
 from tidewatch.schema import NOISE_LABEL
 
 
@@ -33,8 +34,7 @@ def quality_scores(cells: DataFrame, group: list[str] | None = None) -> DataFram
     Pair counts and entropies need only sums over the cells and the two marginals. Noise counts as
     one cluster in the scores and is left out of ``n_clusters``.
     """
-    keys = group or ["_all"]
-    cells = cells if group else cells.withColumn("_all", F.lit(1))
+    keys = group or []
     joint = cells.groupBy(*keys).agg(
         F.sum("n").alias("n_posts"),
         _pairs(F.col("n")).alias("s"),
@@ -60,8 +60,7 @@ def quality_scores(cells: DataFrame, group: list[str] | None = None) -> DataFram
     h_both = F.log(n) - F.col("j") / n
     tiny = 1e-12
     return (
-        joint.join(rows, keys)
-        .join(cols, keys)
+        side_by_side([joint, rows, cols], keys)
         .withColumn("ari", ari)
         .withColumn("_ht", h_true)
         .withColumn("_hp", h_pred)

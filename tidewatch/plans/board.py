@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import labels, trend
+from tidewatch.runtime import materialize
 from tidewatch.schema import TrendParams
 
 LABELLED_CLUSTERS = 10
@@ -19,7 +20,9 @@ def active_summary(posts: DataFrame, p: TrendParams, auto_calibrate: bool = Fals
     ``posts`` has ``cluster_id, post_id, title, timestamp``; only posts of live clusters reach the
     title ranking. Sorted by state name, fastest growth first.
     """
-    summary = trend.trend_summary(posts.select("cluster_id", "timestamp"), p, auto_calibrate=auto_calibrate)
+    summary = materialize(
+        trend.trend_summary(posts.select("cluster_id", "timestamp"), p, auto_calibrate=auto_calibrate), "summary"
+    )
     titled = posts.select("cluster_id", "post_id", "title", "timestamp").join(
         summary.select("cluster_id"), "cluster_id", "left_semi"
     )
@@ -37,7 +40,7 @@ def trend_board(
 
     ``labeler`` turns titles (``cluster_id, post_id, title``) into ``cluster_id, label, description``.
     """
-    summary = active_summary(posts, p, auto_calibrate)
+    summary = materialize(active_summary(posts, p, auto_calibrate), "active")
     top = trend.top_clusters(summary, LABELLED_CLUSTERS, by="growth_rate").select("cluster_id")
     mine = posts.select("cluster_id", "post_id", "title", "timestamp").join(F.broadcast(top), "cluster_id", "left_semi")
     recent = labels.recent_titles(mine, keep=p.recent_titles)

@@ -162,7 +162,8 @@ def _flags(assigned):
 def _detected(spark, sf):
     assigned = _assigned(spark, sf)
     flags = materialize(_flags(assigned), "flags")
-    return bursts.detect_bursts(_truth(spark, sf), bursts.burst_majority(assigned), flags), flags
+    per_burst = bursts.detect_bursts(_truth(spark, sf), bursts.burst_majority(assigned), flags)
+    return materialize(per_burst, "per_burst"), flags
 
 
 @query(
@@ -238,7 +239,8 @@ SQL_LOG = """, sz AS (SELECT refresh_no, t, cluster_id AS tracked_id, count(*) A
 
 def _refresh_log(spark, sf):
     members = _members(spark, sf).withColumn("tracked_id", F.col("cluster_id"))
-    return sliding.refresh_log(members), members
+    members = materialize(members, "members")
+    return materialize(sliding.refresh_log(members), "log"), members
 
 
 @query(

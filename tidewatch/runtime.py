@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +99,13 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     after the shuffle, all partitions are wanted.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def side_by_side(parts: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """Tables with at most one row per key set beside one another, by a union and a grouping.
+
+    No join, and so no cross join where there are no keys.
+    """
+    keys = keys or []
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in keys])
