@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import text as tx
-from tidewatch.runtime import spread
+from tidewatch.runtime import materialize, spread
 
 LOGGER = logging.getLogger(__name__)
 
@@ -143,7 +143,7 @@ def embed_corpus_cached(
         embedder = embedder.fit(embedding_texts(posts, text_mode))
     stored = read_store(posts, path, embedder.model_name, text_mode)
     todo = posts if stored is None else missing_ids(posts, stored)
-    fresh = embed_corpus(todo, embedder, text_mode)
+    fresh = materialize(embed_corpus(todo, embedder, text_mode), "vectors")
     if write_store(fresh, path, embedder.model_name, text_mode):
         known = read_store(posts, path, embedder.model_name, text_mode)
     else:

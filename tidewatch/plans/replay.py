@@ -39,7 +39,8 @@ def replay(
         if store_path is not None:
             vectors = embedding.embed_corpus_cached(posts, store_path, embedder, text_mode)
         else:
-            vectors = embedding.embed_corpus(posts, embedder, text_mode)
+            # several passes follow, and a model should see each text once
+            vectors = materialize(embedding.embed_corpus(posts, embedder, text_mode), "vectors")
     timed = posts.select("post_id", "timestamp").join(vectors.select("post_id", "embedding"), "post_id")
     assignments = materialize(online_clusters(timed, p, target_rows), "assignments")
     history = weights.weight_history(assignments, p)

@@ -160,7 +160,7 @@ def _flags(assigned):
 
 
 def _detected(spark, sf):
-    assigned = _assigned(spark, sf)
+    assigned = materialize(_assigned(spark, sf), "assigned")
     flags = materialize(_flags(assigned), "flags")
     per_burst = bursts.detect_bursts(_truth(spark, sf), bursts.burst_majority(assigned), flags)
     return materialize(per_burst, "per_burst"), flags
