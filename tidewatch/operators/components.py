@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.runtime import materialize
@@ -15,15 +15,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every node links its
     larger neighbours, then its smaller ones, to its least neighbour, until nothing changes. Each
-    step is a grouped minimum and a join; every second round is written out, so no lineage piles up.
+    step is a grouped minimum and a join; each round is written out, so no lineage piles up.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
     pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _checksum(pairs)
     for _ in range(MAX_ROUNDS):
-        for _ in range(2):
-            pairs = _small_star(_large_star(pairs))
-        pairs = materialize(pairs, "edges")
+        pairs = materialize(_small_star(_large_star(pairs)), "edges")
         now = _checksum(pairs)
         if now == mark:
             break
@@ -40,8 +38,12 @@ def _checksum(pairs: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def _edge(u: str, v: str) -> Column:
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = pairs.select(F.inline(F.array(_edge("u", "v"), _edge("v", "u"))))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     linked = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.filter("u <> v")
@@ -49,6 +51,5 @@ def _large_star(pairs: DataFrame) -> DataFrame:
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    linked = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select("u", F.col("m").alias("v"))
-    return linked.unionByName(own).filter("u <> v").distinct()
+    linked = pairs.join(least, "u").select(F.inline(F.array(_edge("v", "m"), _edge("u", "m"))))
+    return linked.filter("u <> v").distinct()
