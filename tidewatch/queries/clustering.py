@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions import times
-from tidewatch.operators import bursts, density, embedding, injection, online, quality
+from tidewatch.operators import density, embedding, injection, online, quality
 from tidewatch.plans import evaluation, replay, report, sliding, static
 from tidewatch.queries.quality import scores_sql
 from tidewatch.queries.registry import SQL_USER_POSTS, doc_posts, query, rounded, table, user_posts

@@ -10,11 +10,9 @@ from tidewatch.operators import fingerprint, timeline
 from tidewatch.queries.registry import (
     SQL_DOC_POSTS,
     SQL_EVENT_POSTS,
-    SQL_POSTS,
     doc_posts,
     event_posts,
     iso_sql,
-    posts,
     query,
     rounded,
     table,

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import labels, quality, trend
+from tidewatch.operators import labels, quality
 from tidewatch.operators.stopwords import STOP_WORDS
 from tidewatch.plans import board
-from tidewatch.queries.registry import SQL_DOC_POSTS, SQL_EVENT_POSTS, SQL_POSTS, doc_posts, event_posts, posts, query, rounded, table
-from tidewatch.queries.trend import CUTOFF, HISTORY, LATEST, MEMBERS, P, SUMMARY_COLUMNS, _summary
+from tidewatch.queries.registry import SQL_EVENT_POSTS, SQL_POSTS, SQL_USER_POSTS, event_posts, posts, query, rounded, table
+from tidewatch.queries.trend import MEMBERS, P, SUMMARY_COLUMNS, _summary
 from tidewatch.queries.sqltrend import features_sql, history_sql, latest_sql
-from tidewatch.queries.registry import SQL_USER_POSTS
 
 SCORES = ("ari", "nmi", "homogeneity", "completeness", "v_measure", "noise_ratio")
 
