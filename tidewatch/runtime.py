@@ -53,6 +53,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewatch-{uuid.uuid4().hex}/{name}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table of this job that nothing reads any more."""
+    if "/tidewatch-" not in path:
+        raise ValueError(f"not a scratch table: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
