@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, neardup
+from tidewatch.llm import decontam, neardup, pieces, tokencount
+
+# Public vocabulary files; their folder is a parameter.
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op2_minhash_neardup")
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,3 +44,24 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_benchmark_decontamination")
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives its text (a visible space reads as a space)."""
+    plain = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(plain, 256).alias("digest"))
+    encoded = pieces.encode(docs, vocabulary(PIECE_BPE)).withColumn("kept_ids", F.col("ids"))
+    decoded = pieces.decode(encoded, vocabulary(PIECE_BPE))
+    return decoded.select(
+        "doc_id",
+        F.size("kept_ids").cast("long").alias("n_tokens"),
+        F.col("kept_ids").alias("ids"),
+        F.char_length("text").cast("long").alias("decoded_chars"),
+        (F.sha2("text", 256) == F.col("digest")).alias("round_trip"),
+    )
