@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, neardup, pieces, tokencount
+from tidewatch.llm import chat, decontam, neardup, pieces, quality, tokencount
 
 # Public vocabulary files; their folder is a parameter.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -65,3 +65,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("text").cast("long").alias("decoded_chars"),
         (F.sha2("text", 256) == F.col("digest")).alias("round_trip"),
     )
+
+
+@query("op7_quality_cascade", quality.SQL)
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
+@query("op4_chat_prefix_target", chat.SQL)
+def op4_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = F.lit("</s>[INST] ok [/INST]")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), control.alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.expand(turns.unionByName(planted)))
