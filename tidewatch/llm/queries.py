@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontam, langid, neardup, pieces, quality, tokencount
+from tidewatch.llm import chat, decontam, langid, licences, neardup, pieces, quality, tokencount
 
 # Public vocabulary files; their folder is a parameter.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -85,3 +85,8 @@ def op4_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_license_scan", licences.SQL)
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(licences.scan(table(spark, sf_dir, "documents")))
