@@ -46,7 +46,6 @@ class Block:
     around: frozenset[str]
     tag: str
     link_chars: int
-    place: float = 0.0
     features: list[str] = field(default_factory=list)
 
 
@@ -128,8 +127,7 @@ def blocks(html: str) -> list[Block]:
     if at < len(html):
         parts.append(html[at:])
     flush()
-    for k, b in enumerate(out):
-        b.place = (k + 0.5) / len(out)
+    for b in out:
         b.features = _features(b)
     return out
 
@@ -141,7 +139,6 @@ def _features(b: Block) -> list[str]:
     out.append(f"words:{min(6, words.bit_length())}")
     out.append(f"links:{0 if share == 0 else 1 if share < 0.5 else 2}")
     out.append(f"ends:{b.text[-1] in '.!?…:;\"”»'}")
-    out.append(f"place:{int(b.place * 4)}")
     if "©" in b.text:
         out.append("sign:copyright")
     if sum(c.isdigit() for c in b.text) * 4 > len(b.text):
