@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontam, langid, licences, maintext, neardup, pieces, quality, tokencount
+from tidewatch.llm import chat, decontam, langid, licences, lm, maintext, neardup, pieces, quality, tokencount
 
 # Public vocabulary files; their folder is a parameter.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -95,3 +95,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_main_text")
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
