@@ -45,10 +45,14 @@ def repeat_words(w: Column) -> Column:
     The windows are sorted by their hash, so equal ones are neighbours; the covered words are counted from
     the distances of the places in order.
     """
-    windows = F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
-        lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-    )
+
+    def windows(v: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                F.slice(v, 1, F.greatest(F.size(v) - 2, F.lit(0))),
+                lambda x, i: F.struct(F.xxhash64(x, F.get(v, i + 1), F.get(v, i + 2)).alias("h"), i.alias("i")),
+            )
+        )
 
     def places(s: Column) -> Column:
         twice = F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False)))
@@ -57,7 +61,7 @@ def repeat_words(w: Column) -> Column:
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
-    return let(let(F.array_sort(windows), places), covered).cast("long")
+    return let(let(let(w, windows), places), covered).cast("long")
 
 
 @dataclass(frozen=True)
@@ -69,9 +73,8 @@ class Rule:
     work: Column
 
 
-def rules(text: str = "text", split: str = "words") -> list[Rule]:
-    """The rules over a text column without nulls and the array of its words."""
-    t, w = F.col(f"`{text}`"), F.col(f"`{split}`")
+def rules(t: Column, w: Column) -> list[Rule]:
+    """The rules over a text without nulls and the array of its words."""
     n, chars = F.size(w).cast("long"), F.char_length(t).cast("double")
     per_word = F.size(w).cast("double")
     return [
@@ -91,59 +94,67 @@ def count_in_words(text: Column) -> Column:
     return F.char_length(F.translate(text, SPACES, "")).cast("long")
 
 
-def with_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``row`` (all columns), ``text`` without nulls, ``words``."""
+def prepared(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """``row`` (all columns) and ``text`` without nulls."""
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), text.alias("text")).withColumn("words", words(F.col("text")))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
 
 
-def order_rules(prepared: DataFrame, found: list[Rule]) -> list[Rule]:
-    """The rules by rejections per work on the sample, each on the rows that the rules before it leave."""
-    sample = prepared.sample(False, SAMPLE_SHARE, 7).limit(SAMPLE_ROWS)
-    columns = [c for k, r in enumerate(found) for c in (r.rejects.alias(f"r{k}"), r.work.alias(f"w{k}"))]
+def cascade_order(texts: DataFrame) -> list[str]:
+    """The rules' names by rejections per work on the sample, each on the rows that the rules before it leave."""
+    sample = texts.sample(False, SAMPLE_SHARE, 7).limit(SAMPLE_ROWS)
+    t = F.col("text")
+    found = rules(t, words(t))
+    columns = [c for r in found for c in (r.rejects.alias(f"{r.name}_no"), r.work.alias(f"{r.name}_work"))]
     rows = [r.asDict() for r in sample.select(*columns).collect()]
-    left, out = list(range(len(found))), []
+    left, out = [r.name for r in found], []
     while left:
-
-        def gain(k: int) -> float:
-            return sum(r[f"r{k}"] for r in rows) / max(1.0, sum(r[f"w{k}"] for r in rows))
-
-        best = max(left, key=lambda k: (gain(k), -k))
-        out.append(found[best])
+        best = max(left, key=lambda name: sum(r[f"{name}_no"] for r in rows) / max(1.0, sum(r[f"{name}_work"] for r in rows)))
+        out.append(best)
         left.remove(best)
-        rows = [r for r in rows if not r[f"r{best}"]]
+        rows = [r for r in rows if not r[f"{best}_no"]]
     return out
 
 
-def verdict(ordered: list[Rule]) -> Column:
-    """The name of the first rule of the cascade that rejects, null for a good row."""
-    out = F.when(ordered[0].rejects, F.lit(ordered[0].name))
-    for r in ordered[1:]:
-        out = out.when(r.rejects, F.lit(r.name))
-    return out
+def verdict(text: Column, split: Column, order: list[str], without: tuple[str, ...] = ()) -> Column:
+    """The name of the first rule of the cascade that rejects, null for a good text.
+
+    The words are bound once, so the expression costs one split wherever the optimizer moves it.
+    """
+
+    def cascade(w: Column) -> Column:
+        by_name = {r.name: r for r in rules(text, w)}
+        out = None
+        for name in order:
+            if name not in without:
+                out = (F.when if out is None else out.when)(by_name[name].rejects, F.lit(name))
+        return out
+
+    return let(split, cascade)
 
 
 def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns."""
-    prepared = with_words(docs, text_column)
-    return prepared.filter(verdict(order_rules(prepared, rules())).isNull()).select("row.*")
+    texts = prepared(docs, text_column)
+    t = F.col("text")
+    return texts.filter(verdict(t, words(t), cascade_order(texts)).isNull()).select("row.*")
 
 
 def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row its id, word statistics, whether a base rule fails, and the cascade's verdict."""
-    prepared = with_words(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
-    base = ("too_short", "repeats")
-    ordered = order_rules(prepared, [r for r in rules() if r.name not in base])
-    lines = let(lines_with_words(F.col("text")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    measured = prepared.select(
+    texts = prepared(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
+    order = cascade_order(texts)
+    t, w = F.col("text"), F.col("words")
+    lines = let(lines_with_words(t), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    measured = texts.withColumn("words", words(t)).select(
         F.col("row.doc_id").alias("doc_id"),
-        F.size("words").cast("long").alias("n_words"),
-        count_in_words(F.col("text")).alias("word_chars"),
-        count_in(F.col("text"), SYMBOLS).alias("n_symbols"),
+        F.size(w).cast("long").alias("n_words"),
+        count_in_words(t).alias("word_chars"),
+        count_in(t, SYMBOLS).alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("words")).alias("n_repeat_words"),
-        verdict(ordered).isNull().alias("passed"),
+        repeat_words(w).alias("n_repeat_words"),
+        # the base columns decide the base rules already
+        verdict(t, w, order, without=("too_short", "repeats")).isNull().alias("passed"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", F.col("passed") & ~F.col("base_failed")).drop("passed")
