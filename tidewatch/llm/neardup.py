@@ -6,11 +6,16 @@ into its bin. In the last rounds every shingle goes to one given bin, so no coor
 ``BANDS`` groups of coordinates are the keys under which documents meet.
 
 * Documents with the same set are one class from the start, named by their smallest id.
-* A bucket never lists its pairs. In each round some members per bucket (1, then 4, 16, ...) are compared with
-  the members of the bucket that are not yet in the same component; links are confirmed on the
-  full sets. A compared centre leaves the bucket; a bucket ends when all its members are in one component.
-  So a group of near copies costs one comparison a member, and still no link between components is lost.
-* Two sets at the least similarity, 0.75, share no band with a probability of (1 - 0.75^4)^32 = 5e-6.
+* Hub rounds: in each bucket one member of the largest component is compared with the members that are not yet in its
+  component. So a group of near copies becomes one component at the cost of one comparison a member and round.
+* What is still apart is peeled, by a bound on the full sets: a document can only be linked through shingles that a candidate of
+  another component has too. With k of them, a partner has at most k * (100 + 75) / 75 - size shingles; a document that no
+  size suits drops out, and so on for the others.
+* The rest meets in its buckets under the conditions that a link needs (sizes within both bounds, different components, and no
+  more different shingles than a link allows by a lower bound from parity bits), once per pair, in the first band it shares.
+  Every pair that passes is checked on the full sets; no other pair is listed.
+* Hubs, peeling and conditions lose nothing. Two sets at the least similarity, 0.75, share no band with a probability of
+  (1 - 0.75^4)^32 = 5e-6, more similar ones far less often.
 
 A null or empty text, and one without words, has an empty set, no links, and is its own component. Every row gives a
 row; a row without an id takes its class's component but never names one. Rows with equal ids and equal texts are
@@ -35,7 +40,8 @@ SHINGLE_WORDS = 5
 COORDINATES, BANDS = 128, 32
 # A pair is linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-CENTRES = 4
+HUB_ROUNDS, PEEL_ROUNDS = 2, 2
+PARITY_BITS = 1024
 # Rows of full sets that one comparison step holds.
 PAIR_ROWS = 256
 
@@ -99,27 +105,54 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def coordinate_bytes(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """One byte of each coordinate, the bytes of a band in one number."""
+    rows = (mix(coordinates) & U64(255)).reshape(bands, -1)
+    out = np.zeros(bands, U64)
+    for j in range(rows.shape[1]):
+        out = out << U64(8) | rows[:, j]
+    return out.view(np.int64)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits, each the parity of the shingles that fall on it.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    bits = (np.bincount((hashes & U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
+def least_difference(a, b):
+    """A lower bound of the number of shingles that only one of two sets has, from their ``parities``."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words(white_space())
+    empty = np.zeros(0, np.int64)
     for batch in batches:
-        sizes, digests, bands = [], [], []
+        sizes, digests, bands, coords, parity = [], [], [], [], []
         for s in shingle_sets(batch.column(1), words):
             sizes.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            bands.append(band_keys(sketch(s)) if len(s) else np.zeros(0, np.int64))
-        cuts = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-        values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
+            c = sketch(s) if len(s) else None
+            bands.append(empty if c is None else band_keys(c))
+            coords.append(empty if c is None else coordinate_bytes(c))
+            parity.append(empty if c is None else parities(s))
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([empty, *x]))) for x in (bands, coords, parity)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))],
-            ["doc_id", "n_shingles", "digest", "bands"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n_shingles", "digest", "bands", "coords", "parity"]
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words(white_space())
     for batch in batches:
-        found = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc", "members"])
+        found = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
+        cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        values = np.concatenate([np.zeros(0, np.int64), *found])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["doc", "members"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +162,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, PAIR_ROWS)
             keep = []
             for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(sa.as_buffer(), U64), np.frombuffer(sb.as_buffer(), U64)
+                x, y = sa.values.to_numpy(), sb.values.to_numpy()
                 both = np.sort(np.concatenate([x, y]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
@@ -137,21 +170,47 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def _centres(open_: DataFrame, per_bucket: int, turn: int) -> DataFrame:
-    """At most ``per_bucket`` centres of each bucket that holds more than one component.
+def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: in each bucket with several components, a member of the largest one and every member outside of it.
 
-    A centre comes from the component with the fewest members, so that a few strangers among many
-    copies cost a comparison with each copy and not the other way round.
+    Buckets choose by one order of all documents, so the buckets of a group choose few different hubs.
     """
-    counted = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
-    if per_bucket > 1:
-        part = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(per_bucket))
-        counted = open_.groupBy("bucket", "comp", part.alias("part")).agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
-        first = counted.groupBy("bucket", "part").agg(F.min(F.struct("n", "doc", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        found = first.groupBy("bucket").agg(F.collect_list("c").alias("centres"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    else:
-        found = counted.groupBy("bucket").agg(F.array(F.min(F.struct("n", "doc", "comp"))).alias("centres"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return found.filter("lo <> hi").select("bucket", "centres")
+    order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+    counted = open_.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min(F.struct(order.alias("order"), "doc", "n")).alias("first"))
+    best = F.struct((-F.col("c")).alias("c"), F.col("first.order").alias("order"), F.col("first.doc").alias("a"), F.col("first.n").alias("na"), F.col("comp").alias("hub"))
+    hubs = counted.groupBy("bucket").agg(F.min(best).alias("h"), F.count("*").alias("comps"))
+    hubs = hubs.filter("comps > 1").select("bucket", "h.a", "h.na", "h.hub")
+    near = (F.col("comp") != F.col("hub")) & (100 * F.least("n", "na") >= PERCENT * F.greatest("n", "na"))
+    return open_.join(hubs, "bucket").filter(near).select("a", F.col("doc").alias("b")).distinct()
+
+
+def _several(open_: DataFrame) -> DataFrame:
+    """The buckets' rows without the buckets that hold one component only."""
+    mixed = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    return open_.join(mixed, "bucket", "left_semi")
+
+
+def _peeled(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rest`` with the most shingles a partner may have (``most``), without the rows that can have no partner."""
+    docs = rest.select("doc", "comp", "n").distinct()
+    held = sets.join(docs, "doc").select("doc", "comp", "n", F.explode("members").alias("x"))
+    shared = held.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("x")
+    core = held.join(shared, "x", "left_semi").groupBy("doc", "n").agg(F.count("*").alias("k"))
+    most = F.floor(F.col("k") * (100 + PERCENT) / PERCENT - F.col("n") + 1e-6)
+    able = core.select("doc", most.alias("most")).filter(F.col("most") * 100 >= PERCENT * F.col("n"))
+    return rest.drop("most").join(able, "doc")
+
+
+def _pairs(rest: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of ``rest`` that meet all conditions a link needs, each in the first band it shares."""
+    left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "most", "coords", "parity", "pos")])
+    right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "comp", "most", "coords", "parity")])
+    size = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
+    size &= (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
+    first = F.array_position(F.zip_with("coords_a", "coords_b", lambda x, y: x == y), True) == F.col("pos_a") + 1
+    alike = least_difference(F.col("parity_a"), F.col("parity_b")) * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
+    apart = (F.col("doc_a") < F.col("doc_b")) & (F.col("comp_a") != F.col("comp_b"))
+    return left.join(right, (left["bucket"] == right["bucket"]) & apart & size & F.when(apart & size, alike & first)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,40 +220,38 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_linked, "a long, b long")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links, "a", "b").withColumnRenamed("node", "doc")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    features = materialize(named.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, bands array<long>"), "features")
-    classes = features.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    rows = classes.select("doc", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    members = materialize(rows.join(shared, "bucket").distinct(), "members")
-    candidates = members.select("doc").distinct()
+    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, coords array<long>, parity array<long>"
+    features = materialize(named.mapInArrow(_features, schema), "features")
+    distinct = features.filter("digest is not null and doc_id is not null")
+    classes = distinct.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"))
+    classes = materialize(classes.select("digest", F.col("first.doc_id").alias("doc"), F.col("first.n_shingles").alias("n"), F.col("first.bands").alias("bands")), "classes")
+    rows = classes.select("doc", "n", F.posexplode("bands").alias("pos", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("bucket")
+    open_ = materialize(rows.join(shared, "bucket").withColumn("comp", F.col("doc")), "members")
+    candidates = open_.select("doc").distinct()
     sets = materialize(
-        named.join(candidates, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc long, members binary"), "sets"
+        named.join(candidates, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc long, members array<long>"), "sets"
     )
-    links, open_, per_bucket, turn = None, members.withColumn("comp", F.col("doc")), 1, 0
-    while True:
-        centres = materialize(_centres(open_, per_bucket, turn), "centres")
-        if centres.isEmpty():
-            break
-        met = open_.join(centres, "bucket").select("bucket", "doc", "n", "comp", F.explode("centres").alias("c"))
-        size = members.select(F.col("doc").alias("a"), F.col("n").alias("na")).distinct()
-        pairs = met.filter("c.comp <> comp").select(F.col("c.doc").alias("a"), F.col("doc").alias("b"), "n").distinct().join(size, "a")
-        pairs = pairs.filter(100 * F.least("n", "na") >= PERCENT * F.greatest("n", "na")).select("a", "b")
-        found = materialize(_compare(pairs, sets), "links")
-        links = found if links is None else materialize(links.unionByName(found), "links")
-        named_comps = connected_components(links, "a", "b").withColumnRenamed("node", "doc")
-        done = centres.select("bucket", F.explode("centres.doc").alias("doc"))
-        rest = open_.join(centres.select("bucket"), "bucket", "left_semi").join(done, ["bucket", "doc"], "left_anti").drop("comp")
-        open_ = materialize(rest.join(named_comps, "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("comp")), "open")
-        per_bucket, turn = per_bucket * CENTRES, turn + 1
-    named_classes = classes.select("digest", "doc")
-    if links is not None:
-        comps = connected_components(links, "a", "b").withColumnRenamed("node", "doc")
-        named_classes = named_classes.join(comps, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
-    else:
-        named_classes = named_classes.withColumnRenamed("doc", "component_id")
+    links = None
+    for turn in range(HUB_ROUNDS):
+        found = materialize(_compare(_hub_pairs(open_, turn), sets), "links")
+        links = found if links is None else links.unionByName(found)
+        named_comps = _components(links)
+        open_ = open_.drop("comp").join(named_comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        open_ = materialize(_several(open_), "open")
+    for _ in range(PEEL_ROUNDS):
+        open_ = materialize(_several(_peeled(open_, sets)), "peeled")
+    coords = features.select(F.col("doc_id").alias("doc"), "coords", "parity").join(open_.select("doc").distinct(), "doc", "left_semi")
+    links = links.unionByName(_compare(_pairs(materialize(open_.join(coords, "doc"), "rest")), sets))
+    named_classes = classes.select("digest", "doc").join(_components(links), "doc", "left")
+    named_classes = named_classes.select("digest", F.coalesce("component", "doc").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "digest").join(named_classes, "digest", "left")
     return out.select(
         "doc_id",
