@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import text as tx
-from tidewatch.runtime import materialize, spread
+from tidewatch.runtime import has_files, materialize, spread
 
 LOGGER = logging.getLogger(__name__)
 
@@ -121,7 +122,10 @@ def read_store(posts: DataFrame, path: str, model_name: str, text_mode: str) ->
 
 
 def write_store(vectors: DataFrame, path: str, model_name: str, text_mode: str) -> bool:
-    """Appends vectors to their partition; an unwritable store is reported, not fatal."""
+    """Appends the vectors whose ids the partition lacks; an unwritable store is reported, not fatal."""
+    if has_files(vectors.sparkSession, path):
+        known = read_store(vectors, path, model_name, text_mode)
+        vectors = vectors if known is None else missing_ids(vectors, known)
     tagged = vectors.withColumns({"model_name": F.lit(model_name), "text_mode": F.lit(text_mode)})
     try:
         tagged.write.mode("append").partitionBy("model_name", "text_mode").parquet(path)
@@ -131,16 +135,31 @@ def write_store(vectors: DataFrame, path: str, model_name: str, text_mode: str)
     return True
 
 
+def stored_fit(posts: DataFrame, path: str, embedder: HashingEmbedder, text_mode: str) -> HashingEmbedder:
+    """The embedder with the weights kept beside the store; they are fitted and kept when there are none yet."""
+    spark = posts.sparkSession
+    kept = f"{path.rstrip('/')}/_fit-{embedder.dim}-{text_mode}"
+    if has_files(spark, kept):
+        return HashingEmbedder(embedder.dim, IDFModel.load(kept))
+    fitted = embedder.fit(embedding_texts(posts, text_mode))
+    try:
+        fitted.idf.write().overwrite().save(kept)
+    except (PySparkException, Py4JJavaError) as error:
+        LOGGER.warning("weights not stored in %s: %s", kept, type(error).__name__)
+    return fitted
+
+
 def embed_corpus_cached(
     posts: DataFrame, path: str, embedder: Embedder | None = None, text_mode: str = "text"
 ) -> DataFrame:
     """Like ``embed_corpus``, but only posts without a stored vector are embedded and then stored.
 
-    Another model or text mode is another partition of the store, so vectors never mix.
+    Another model or text mode is another partition of the store, so vectors never mix. The default embedder's
+    weights are fitted once and then kept with the store, so later posts get vectors of the same model.
     """
     embedder = embedder or HashingEmbedder()
     if isinstance(embedder, HashingEmbedder) and embedder.idf is None:
-        embedder = embedder.fit(embedding_texts(posts, text_mode))
+        embedder = stored_fit(posts, path, embedder, text_mode)
     stored = read_store(posts, path, embedder.model_name, text_mode)
     todo = posts if stored is None else missing_ids(posts, stored)
     fresh = materialize(embed_corpus(todo, embedder, text_mode), "vectors")

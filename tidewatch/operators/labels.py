@@ -30,11 +30,16 @@ def terms_of(title: Column, stop_words: list[str] = STOP_WORDS) -> Column:
 
 
 def term_scores(
-    titles: DataFrame, cluster: str = "cluster_id", doc: str = "post_id", title: str = "title", stop_words: list[str] = STOP_WORDS
+    titles: DataFrame,
+    cluster: str = "cluster_id",
+    doc: str = "post_id",
+    title: str = "title",
+    stop_words: list[str] = STOP_WORDS,
+    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """Summed TF-IDF weight of each cluster's most frequent terms: ``cluster, term, score``.
 
-    The vocabulary is the 50 most frequent terms of a cluster; document rows are scaled to length one.
+    The vocabulary is the ``max_terms`` most frequent terms of a cluster; document rows are scaled to length one.
     """
     docs = titles.filter(~tx.is_blank(F.col(title))).select(cluster, doc, title)
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("n_docs"))
@@ -48,7 +53,7 @@ def term_scores(
         "rn", F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("total"), F.asc("term")))
     )
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    vocabulary = ranked.filter(F.col("rn") <= MAX_TERMS).join(sizes, cluster).select(cluster, "term", idf.alias("idf"))
+    vocabulary = ranked.filter(F.col("rn") <= max_terms).join(sizes, cluster).select(cluster, "term", idf.alias("idf"))
     weights = counts.join(vocabulary, [cluster, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(cluster, doc)))
     return weights.withColumn("w", F.col("w") / norm).groupBy(cluster, "term").agg(F.sum("w").alias("score"))

@@ -11,8 +11,6 @@ from tidewatch.operators import labels, trend
 from tidewatch.runtime import materialize
 from tidewatch.schema import TrendParams
 
-LABELLED_CLUSTERS = 10
-
 
 def active_summary(posts: DataFrame, p: TrendParams, auto_calibrate: bool = False) -> DataFrame:
     """Trend summary of live clusters with member count and newest titles.
@@ -36,13 +34,13 @@ def trend_board(
     auto_calibrate: bool = False,
     labeler: Callable[[DataFrame], DataFrame] = labels.topic_labels,
 ) -> DataFrame:
-    """Cards of all live clusters; the fastest growing ones carry a label.
+    """Cards of all live clusters with their labels, made for all clusters in one job.
 
     ``labeler`` turns titles (``cluster_id, post_id, title``) into ``cluster_id, label, description``.
     """
     summary = materialize(active_summary(posts, p, auto_calibrate), "active")
-    top = trend.top_clusters(summary, LABELLED_CLUSTERS, by="growth_rate").select("cluster_id")
-    mine = posts.select("cluster_id", "post_id", "title", "timestamp").join(F.broadcast(top), "cluster_id", "left_semi")
+    live = summary.select("cluster_id")
+    mine = posts.select("cluster_id", "post_id", "title", "timestamp").join(live, "cluster_id", "left_semi")
     recent = labels.recent_titles(mine, keep=p.recent_titles)
     named = labels.with_labels(summary, labeler(recent))
     return trend.board_order(named).drop("state_rank")

@@ -198,9 +198,9 @@ def topic_labels(spark, sf):
 @query(
     "trend_board",
     f"""WITH {SQL_POSTS}, {SQL_USER_POSTS}, {history_sql('user_posts', P)}, {features_sql(P)}, {latest_sql()}, {MEMBERS},
-    top10 AS (SELECT cluster_id FROM latest ORDER BY growth_rate DESC, cluster_id LIMIT 10),
+    live AS (SELECT cluster_id FROM latest),
     titles AS (SELECT cluster_id, post_id, title FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, post_id DESC) AS rn
-      FROM posts JOIN top10 USING (cluster_id)) WHERE rn <= 8),
+      FROM posts JOIN live USING (cluster_id)) WHERE rn <= 8),
     {terms_sql('titles')}, {LABEL_SQL.format(source='titles')}
     SELECT {SUMMARY_COLUMNS}, member_count, sample_titles, coalesce(label, '') AS label, coalesce(description, '') AS description
     FROM latest JOIN members USING (cluster_id) LEFT JOIN topic USING (cluster_id)""",

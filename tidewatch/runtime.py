@@ -53,6 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewatch-{uuid.uuid4().hex}/{name}"
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists and is not empty, on any file system Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and len(files.listStatus(folder)) > 0
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a scratch table of this job that nothing reads any more."""
     if "/tidewatch-" not in path:

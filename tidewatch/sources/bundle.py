@@ -34,8 +34,8 @@ def save_bundle(spark: SparkSession, folder: str, run_meta: dict, **pieces: Data
     unknown = set(pieces) - set(PIECES)
     if unknown:
         raise ValueError(f"unknown bundle pieces: {sorted(unknown)}")
-    meta = dict(run_meta)
-    meta["generated_at"] = meta.get("generated_at") or datetime.now(timezone.utc).isoformat()
+    written_at = {"generated_at": datetime.now(timezone.utc).isoformat()}
+    meta = written_at | {k: v for k, v in run_meta.items() if v or k not in written_at}
     spark.createDataFrame([(json.dumps(meta, default=str),)], "value string").coalesce(1).write.mode(
         "overwrite"
     ).text(f"{folder}/{META}")

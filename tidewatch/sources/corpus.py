@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as tx
 from tidewatch.functions import times
+from tidewatch.runtime import has_files
 from tidewatch.schema import POST_COLUMNS
 from tidewatch.sources.readers import require_columns
 
@@ -59,11 +59,8 @@ def merge_master(incoming: DataFrame, existing: DataFrame | None) -> DataFrame:
 def write_master(incoming: DataFrame, path: str) -> None:
     """Appends the rows the master table lacks, each file in time order; nothing is rewritten."""
     spark = incoming.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-        fresh = new_rows(incoming, existing)
-    except AnalysisException:
-        fresh = keep_first(incoming.select(*POST_COLUMNS))
+    existing = spark.read.parquet(path) if has_files(spark, path) else None
+    fresh = keep_first(incoming.select(*POST_COLUMNS)) if existing is None else new_rows(incoming, existing)
     fresh.sortWithinPartitions("timestamp", "post_id").write.mode("append").parquet(path)
 
 
