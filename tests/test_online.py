@@ -58,7 +58,7 @@ def groups(ids):
     return [first.setdefault(c, i) for i, c in enumerate(ids)]
 
 
-def test_single_chunk_equals_plain_loop(spark, topic_vector):
+def test_equals_plain_loop(spark, topic_vector):
     us, x, _ = noisy_corpus(topic_vector)
     got = online.online_clusters(make_posts(spark, us, x), P).orderBy("post_id").toPandas()
     assert groups(got["cluster_id"]) == groups(plain_loop(us, x, P))
@@ -86,9 +86,9 @@ def test_weight_series_matches_stepwise_decay(spark, topic_vector):
     assert (hist["weight"] >= P.min_cluster_weight).all()
 
 
-@pytest.mark.parametrize("target", [200, 60])
-def test_chunked_run_keeps_every_post_and_every_topic(spark, topic_vector, target):
-    """Far apart topics, one of them with a third of all posts: chunks must join to the same groups."""
+@pytest.mark.parametrize("bits, coarse_bits", [(10, 3), (14, 8)])
+def test_cell_widths_keep_every_post_and_every_topic(spark, topic_vector, bits, coarse_bits):
+    """Far apart topics, one of them with a third of all posts: other cells must give the same groups."""
     rng = np.random.default_rng(5)
     n = 900
     us = BASE_US + np.sort(rng.integers(0, 6 * 3600 * 1_000_000, size=n))
@@ -96,27 +96,47 @@ def test_chunked_run_keeps_every_post_and_every_topic(spark, topic_vector, targe
     x = np.stack([topic_vector(int(k)) for k in keys])
     posts = make_posts(spark, us, x)
     whole = online.online_clusters(posts, P).orderBy("post_id").toPandas()
-    cut = online.online_clusters(posts, P, target_rows=target).orderBy("post_id").toPandas()
+    cut = online.online_clusters(posts, P, bits, coarse_bits).orderBy("post_id").toPandas()
     assert len(cut) == n and cut["post_id"].is_unique
-    assert groups(cut["cluster_id"]) == groups(whole["cluster_id"])
-
-
-def test_no_chunk_exceeds_its_target_by_more_than_a_slot(spark, topic_vector):
-    us = BASE_US + np.arange(2000) * 1_000_000
-    posts = make_posts(spark, us, [topic_vector(1)] * 2000).select("post_id", "timestamp", "embedding")
-    sizes = online.cut_into_chunks(online.route_to_cells(posts, 8), P, 100).groupBy("chunk").count().toPandas()
-    assert sizes["count"].sum() == 2000
-    assert sizes["count"].max() < 2 * 100
+    assert groups(cut["cluster_id"]) == groups(whole["cluster_id"]) == groups(plain_loop(us, x, P))
 
 
 def test_result_does_not_depend_on_partitions(spark, topic_vector):
     us, x, _ = noisy_corpus(topic_vector, n=300)
     posts = make_posts(spark, us, x)
-    a = online.online_clusters(posts.repartition(1), P, target_rows=80).orderBy("post_id").toPandas()
-    b = online.online_clusters(posts.repartition(7), P, target_rows=80).orderBy("post_id").toPandas()
+    a = online.online_clusters(posts.repartition(1), P).orderBy("post_id").toPandas()
+    b = online.online_clusters(posts.repartition(7), P).orderBy("post_id").toPandas()
+    assert a["cluster_id"].tolist() == b["cluster_id"].tolist()
+
+
+def test_unrelated_posts_change_nothing(spark, topic_vector):
+    us, x, keys = noisy_corpus(topic_vector, n=600)
+    posts = make_posts(spark, us, x)
+    some = posts.join(spark.createDataFrame([(f"p{i:06d}",) for i in np.flatnonzero(keys < 8)], "post_id string"), "post_id")
+    a = online.online_clusters(posts, P).join(some.select("post_id"), "post_id").orderBy("post_id").toPandas()
+    b = online.online_clusters(some, P).orderBy("post_id").toPandas()
     assert a["cluster_id"].tolist() == b["cluster_id"].tolist()
 
 
+def test_runs_share_a_job_and_equal_single_runs(spark, topic_vector):
+    us, x, _ = noisy_corpus(topic_vector, n=300)
+    posts = make_posts(spark, us, x)
+    grid = {"a": P, "b": P.with_(half_life_seconds=7200.0), "c": P.with_(similarity_threshold=0.97)}
+    both = online.online_runs(posts, grid).toPandas()
+    for run, p in grid.items():
+        one = online.online_clusters(posts, p).toPandas().set_index("post_id")["cluster_id"]
+        mine = both[both["run"] == run].set_index("post_id")["cluster_id"]
+        assert mine.sort_index().equals(one.sort_index())
+
+
+def test_empty_table_and_zero_vectors(spark, topic_vector):
+    us = [BASE_US + i * 60_000_000 for i in range(4)]
+    posts = make_posts(spark, us, [topic_vector(1), np.zeros(32), topic_vector(1), np.zeros(32)])
+    ids = online.online_clusters(posts, P).orderBy("post_id").toPandas()["cluster_id"].tolist()
+    assert ids[0] == ids[2] and len(set(ids)) == 3
+    assert online.online_clusters(posts.limit(0), P).count() == 0
+
+
 def test_replay_tables(spark, topic_vector):
     us = [BASE_US + i * 30_000_000 for i in range(120)]
     posts = make_posts(spark, us, [topic_vector(0)] * 120)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import embedding, trend, weights
-from tidewatch.operators.online import TARGET_ROWS, online_clusters
+from tidewatch.operators.online import online_clusters
 from tidewatch.plans import board
 from tidewatch.runtime import materialize
 from tidewatch.schema import TrendParams
@@ -31,7 +31,6 @@ def replay(
     store_path: str | None = None,
     text_mode: str = "text",
     vectors: DataFrame | None = None,
-    target_rows: int = TARGET_ROWS,
 ) -> Replay:
     """Embeds (or takes ``vectors``), clusters in time order, and derives the trend tables."""
     p = p or TrendParams()
@@ -42,7 +41,7 @@ def replay(
             # several passes follow, and a model should see each text once
             vectors = materialize(embedding.embed_corpus(posts, embedder, text_mode), "vectors")
     timed = posts.select("post_id", "timestamp").join(vectors.select("post_id", "embedding"), "post_id")
-    assignments = materialize(online_clusters(timed, p, target_rows), "assignments")
+    assignments = materialize(online_clusters(timed, p), "assignments")
     history = weights.weight_history(assignments, p)
     titled = assignments.join(posts.select("post_id", "title"), "post_id")
     return Replay(

@@ -44,7 +44,7 @@ def _founders(assigned):
 @query("online_clusters", SQL_FOUNDERS)
 def online_clusters(spark, sf):
     """Far apart topics, so that the clusters are known: a user's posts until the topic dies."""
-    return _founders(materialize(online.online_clusters(topic_vectors(spark, sf), P, target_rows=100_000), "assigned"))
+    return _founders(materialize(online.online_clusters(topic_vectors(spark, sf), P), "assigned"))
 
 
 @query("stream_online_clusters", SQL_FOUNDERS)
@@ -55,11 +55,8 @@ def stream_online_clusters(spark, sf):
 
 @query("online_clusters_in_chunks", SQL_FOUNDERS)
 def online_clusters_in_chunks(spark, sf):
-    """The same posts through cells, time slices and joining, as a table too large for one chunk would go.
-
-    Far apart topics come out the same either way.
-    """
-    return _founders(materialize(online.online_clusters(topic_vectors(spark, sf), P, target_rows=2_000), "assigned"))
+    """The same posts in coarser cells: the cells' width doesn't change the clusters of far apart topics."""
+    return _founders(materialize(online.online_clusters(topic_vectors(spark, sf), P, bits=12, coarse_bits=4), "assigned"))
 
 
 def _doc_vectors(spark, sf):
