@@ -78,6 +78,15 @@ def test_sketches_fill_every_coordinate_and_estimate():
     assert differ <= 100
 
 
+def test_pairs_alone_find_every_planted_pair(spark, monkeypatch):
+    """Without hubs, every pair of 69 common shingles of 91 must be met in the first band whose key it shares."""
+    hubs = neardup._hub_pairs
+    monkeypatch.setattr(neardup, "_hub_pairs", lambda open_, turn: hubs(open_.limit(0), turn))
+    rows = [(2 * k + j, " ".join([*(f"p{k}w{i}" for i in range(73)), *(f"p{k}x{j}w{i}" for i in range(11))])) for k in range(3000) for j in range(2)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2] == []
+
+
 def words_of(text):
     import re
 

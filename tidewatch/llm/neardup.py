@@ -12,7 +12,7 @@ into its bin. In the last rounds every shingle goes to one given bin, so no coor
   another component has too. With k of them, a partner has at most k * (100 + 75) / 75 - size shingles; a document that no
   size suits drops out, and so on for the others.
 * The rest meets in its buckets under the conditions that a link needs (sizes within both bounds, different components, and no
-  more different shingles than a link allows by a lower bound from parity bits), once per pair, in the first band it shares.
+  more different shingles than a link allows by a lower bound from parity bits), once per pair, in the first band whose key it shares.
   Every pair that passes is checked on the full sets; no other pair is listed.
 * Hubs, peeling and conditions lose nothing. Two sets at the least similarity, 0.75, share no band with a probability of
   (1 - 0.75^4)^32 = 5e-6, more similar ones far less often.
@@ -105,15 +105,6 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def coordinate_bytes(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """One byte of each coordinate, the bytes of a band in one number."""
-    rows = (mix(coordinates) & U64(255)).reshape(bands, -1)
-    out = np.zeros(bands, U64)
-    for j in range(rows.shape[1]):
-        out = out << U64(8) | rows[:, j]
-    return out.view(np.int64)
-
-
 def parities(hashes: np.ndarray) -> np.ndarray:
     """``PARITY_BITS`` bits, each the parity of the shingles that fall on it.
 
@@ -132,17 +123,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words(white_space())
     empty = np.zeros(0, np.int64)
     for batch in batches:
-        sizes, digests, bands, coords, parity = [], [], [], [], []
+        sizes, digests, bands, parity = [], [], [], []
         for s in shingle_sets(batch.column(1), words):
             sizes.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             c = sketch(s) if len(s) else None
             bands.append(empty if c is None else band_keys(c))
-            coords.append(empty if c is None else coordinate_bytes(c))
             parity.append(empty if c is None else parities(s))
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([empty, *x]))) for x in (bands, coords, parity)]
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([empty, *x]))) for x in (bands, parity)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n_shingles", "digest", "bands", "coords", "parity"]
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n_shingles", "digest", "bands", "parity"]
         )
 
 
@@ -203,11 +193,11 @@ def _peeled(rest: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _pairs(rest: DataFrame) -> DataFrame:
     """``a, b``: the pairs of ``rest`` that meet all conditions a link needs, each in the first band it shares."""
-    left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "most", "coords", "parity", "pos")])
-    right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "comp", "most", "coords", "parity")])
+    left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "most", "bands", "parity", "pos")])
+    right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "comp", "most", "bands", "parity")])
     size = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
     size &= (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
-    first = F.array_position(F.zip_with("coords_a", "coords_b", lambda x, y: x == y), True) == F.col("pos_a") + 1
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("pos_a") + 1
     alike = least_difference(F.col("parity_a"), F.col("parity_b")) * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
     apart = (F.col("doc_a") < F.col("doc_b")) & (F.col("comp_a") != F.col("comp_b"))
     return left.join(right, (left["bucket"] == right["bucket"]) & apart & size & F.when(apart & size, alike & first)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
@@ -227,7 +217,7 @@ def _components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, coords array<long>, parity array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, parity array<long>"
     features = materialize(named.mapInArrow(_features, schema), "features")
     distinct = features.filter("digest is not null and doc_id is not null")
     classes = distinct.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"))
@@ -248,8 +238,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         open_ = materialize(_several(open_), "open")
     for _ in range(PEEL_ROUNDS):
         open_ = materialize(_several(_peeled(open_, sets)), "peeled")
-    coords = features.select(F.col("doc_id").alias("doc"), "coords", "parity").join(open_.select("doc").distinct(), "doc", "left_semi")
-    links = links.unionByName(_compare(_pairs(materialize(open_.join(coords, "doc"), "rest")), sets))
+    keys = features.select(F.col("doc_id").alias("doc"), "bands", "parity").join(open_.select("doc").distinct(), "doc", "left_semi")
+    links = links.unionByName(_compare(_pairs(materialize(open_.join(keys, "doc"), "rest")), sets))
     named_classes = classes.select("digest", "doc").join(_components(links), "doc", "left")
     named_classes = named_classes.select("digest", F.coalesce("component", "doc").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "digest").join(named_classes, "digest", "left")
