@@ -64,6 +64,20 @@ def test_equals_plain_loop(spark, topic_vector):
     assert groups(got["cluster_id"]) == groups(plain_loop(us, x, P))
 
 
+def test_pairs_at_the_default_threshold_are_met(spark):
+    """Two posts with a cosine of 0.56, hours apart, are one cluster by the plain loop; so must they be here."""
+    rng = np.random.default_rng(6)
+    p = P.with_(similarity_threshold=0.55, half_life_seconds=3600.0)
+    q = np.linalg.qr(rng.normal(size=(256, 256)))[0]
+    a, other = q[:100], q[100:200]
+    x = np.concatenate([a, 0.56 * a + np.sqrt(1 - 0.56**2) * other]).astype(np.float32)
+    us = BASE_US + np.repeat([0, 90 * 60], 100) * 1_000_000 + np.arange(200)
+    expected = groups(plain_loop(us, x, p))
+    got = online.online_clusters(make_posts(spark, us, x), p).orderBy("post_id").toPandas()
+    assert expected == [*range(100), *range(100)]
+    assert groups(got["cluster_id"]) == expected
+
+
 def test_idle_topic_dies_and_returns_as_new_cluster(spark, topic_vector):
     hours = [0, 0.5, 40, 40.5]
     us = [BASE_US + int(h * 3.6e9) for h in hours]
