@@ -186,6 +186,26 @@ def test_base_scores_equal_brute_force(spark):
     assert lm.score(frame(spark, [None]).limit(0)).count() == 0
 
 
+def test_training_steps_over_every_window_once(spark, monkeypatch):
+    texts = [f"q{i}z common words " + "a b c " * (i % 40) for i in range(80)]
+    named = spark.createDataFrame([(i, t, i % 10 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held boolean")
+    cells = named.coalesce(1).mapInArrow(lm._to_blocks, lm.BLOCKS).filter("words is not null")
+    batches = cells.select(*lm.BLOCK_COLUMNS).toArrow().to_batches()
+    stepped = []
+    monkeypatch.setattr(attention.AttentionModel, "fit", lambda self, head, tail, wanted, w, *_: stepped.extend(map(tuple, w.at.tolist())))
+    classes = np.zeros(lm.HEADS, np.int64)
+    for turn in range(lm.ROUNDS):
+        list(lm._trainer(attention.AttentionModel(np.ones(attention.CLASSES) / attention.CLASSES), classes, turn)(iter(batches)))
+    every, heads = [], set()
+    for _, b in lm._blocks_of(iter(batches)):
+        train = np.flatnonzero(~b.held)
+        every += map(tuple, attention.windows(b.sizes[train], b.first[train]).at.tolist())
+        heads |= set(b.heads[b.words][np.repeat(~b.held, b.n)].tolist())
+    assert len(every) > 72 and sorted(stepped) == sorted(every)
+    together = list(lm._together(np.array(sorted(heads)))(iter(batches)))
+    assert {h for x in together for h in x.column(0).to_pylist()} == heads
+
+
 def test_main_text(spark):
     pages = [
         "<body><header><h1>My Site</h1><nav><a href=/>Home</a></nav></header><main><article><h1>Real &amp; true</h1><p>Text one\n is <b>here</b>.<br>On"

@@ -16,8 +16,8 @@ How it runs. One pass cuts the texts into blocks of about ``BLOCK_BYTES`` and wr
 numbers of its own vocabulary, and one row per word of that vocabulary. Everything later reads that table: the corpus counts (one row
 per block and word, however often it stands there), the model's training, and the scoring, for which each block gets the counts of
 its vocabulary by a join. A word that stands in every block costs one row a block; nothing that grows is broadcast.
-The model is trained in ``ROUNDS`` passes: every task steps over a share of its windows, and the weights are averaged, rows of
-subwords by how often a task met them. What the driver sees has the size of the model.
+The model is trained in ``ROUNDS`` passes, which step over every training window once: in each, a task steps over one share of its
+windows, and the weights are averaged, rows of subwords by how often a task met them. All training texts say which words stand together. What the driver sees has the size of the model.
 
 Rows whose id's crc32 has the remainder 0 are held out: they are scored but add no count and no step. A null text is
 empty; an empty text is one end. A null id is held out. Every row gives a row; other columns are ignored.
@@ -41,8 +41,8 @@ from tidewatch.runtime import materialize
 FOLDS = 10
 SMOOTHING = 0.1
 BLOCK_BYTES = 8 << 20
-# The share of windows a training pass steps over, and of texts that say which words stand together.
-WINDOW_SHARE, ROUNDS, TOGETHER_SHARE = 8, 2, 8
+# Training passes; each steps over another one of as many shares of the windows.
+ROUNDS = 2
 OWN_CLASS = 47
 END = 0
 
@@ -170,11 +170,10 @@ def _together(frequent: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((HEADS, len(frequent)))
-        for block, b in _blocks_of(batches):
-            draw = mix(np.arange(len(b.n), dtype=U64) + mix(np.array([block], U64)))
+        for _, b in _blocks_of(batches):
             heads = b.heads[b.words]
             ends = np.cumsum(b.n)
-            for k in np.flatnonzero(~b.held & (draw % U64(TOGETHER_SHARE) == 0)).tolist():
+            for k in np.flatnonzero(~b.held).tolist():
                 own = heads[ends[k] - b.n[k] : ends[k]]
                 near = number[own]
                 counts = np.bincount(near[near >= 0], minlength=len(frequent)).astype(float)
@@ -222,7 +221,7 @@ def class_map(counts: np.ndarray, near: np.ndarray, frequent: np.ndarray, classe
 
 
 def _trainer(model: AttentionModel, classes: np.ndarray, turn: int):
-    """Steps over a share of the task's windows; yields the weights it ends with and how often each was moved."""
+    """Steps over the turn's share of the task's windows; yields the weights it ends with and how often each was moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = AttentionModel(np.ones(CLASSES) / CLASSES)
@@ -233,7 +232,7 @@ def _trainer(model: AttentionModel, classes: np.ndarray, turn: int):
             (head, tail), wanted = b.inputs(), b.wanted(classes)
             train = np.flatnonzero(~b.held)
             w = windows(b.sizes[train], b.first[train])
-            draw = mix(np.arange(len(w.at), dtype=U64) + mix(np.array([block + 1], U64))) % U64(WINDOW_SHARE)
+            draw = mix(np.arange(len(w.at), dtype=U64) + mix(np.array([block + 1], U64))) % U64(ROUNDS)
             some = np.flatnonzero(draw == turn)
             some = some[np.argsort(mix(some.astype(U64)), kind="stable")]
             w.at, w.live, w.scored = w.at[some], w.live[some], w.scored[some]
