@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from math import log10
 
@@ -137,6 +138,30 @@ def test_licences(spark):
     assert got == {0: "GPL-3-or-later", 1: "MIT", 2: "All-Rights-Reserved", 3: "ISC", 4: "", 5: "", 6: "", 7: "Apache-2.0,CC-BY-NC-4.0"}
 
 
+APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+    "You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
+    "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+]
+
+
+@pytest.mark.parametrize("width", [28, 40, 60, 72, 100])
+def test_published_notices_at_several_widths(width):
+    rules = licences.SentenceRules()
+    for sign in ("", "// ", " * ", "# "):
+        wrapped = [[sign + line for line in textwrap.wrap(x, width, break_long_words=False, break_on_hyphens=False)] for x in APACHE]
+        text = f"\n{sign}\n".join("\n".join(x) for x in wrapped) + "\n\nimport os\n"
+        known, found, rest = rules.scan(text)
+        assert [f.licence for f in found] == ["Apache-2.0"] and rest == 0
+        assert [name for name, *_ in known] == ["apache", "apache-exception", "apache-copy", "apache-as-is", "apache-see"]
+        mit = "\n".join(sign + line for line in textwrap.wrap(licences.SENTENCES["mit-grant"] + ":", width))
+        assert [name for name, *_ in rules.scan(mit)[0]] == ["mit-grant"]
+    cc = "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\nOther words."
+    assert [f.licence for f in rules.scan(cc)[1]] == ["CC-ATTRIBUTION-4.0-INTERNATIONAL-LICENSE"]
+    assert [f.licence for f in rules.scan("SPDX-License-Identifier: ISC\nimport licence\n")[1]] == ["ISC"]
+
+
 def test_windows_score_every_position_once_and_look_back_only():
     sizes = np.array([1, 32, 33, 100, 57])
     first = np.cumsum(sizes) - sizes

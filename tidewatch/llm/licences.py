@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Known sentences in normalised form, by identifier. (v) is an open place for a version, (x) for any words.
+# Known sentences in normalised form, by identifier. (v) is an open place for a version, (x) for any words,
+# and what stands in brackets may be left out.
 SENTENCES = {
     "spdx": "spdx-license-identifier: (x)",
     "copyright": "copyright (x)",
@@ -28,7 +29,7 @@ SENTENCES = {
     "cc": "licensed under cc (x)",
     "cc-long": "this work is licensed under a creative commons (x)",
     "cc-the": "this work is licensed under the creative commons (x)",
-    "apache": "licensed under the apache license, version (v)",
+    "apache": "licensed under the apache license, version (v)[ (the license)]",
     "apache-exception": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at (x)",
     "apache-as-is": "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, "
@@ -103,6 +104,8 @@ RULES = [
 RESERVED = "All-Rights-Reserved"
 # Notices that may stand between the sentences of a licence.
 NOTICES = {"copyright", "all-rights"}
+# Sentences that are one line by their nature; the open places of others may go on in the next lines.
+ONE_LINE = {"copyright", "spdx"}
 # A known sentence holds at least one of these words, so other sentences need no further look.
 KEYWORDS = ("licen", "copyright", "rights reserved", "public domain", "warrant", "permission", "redistribut", "liable", "mpl")
 SENTENCE_END = re.compile(r"(?<=[.!?;:])\s+(?=\S)|\n+")
@@ -144,9 +147,11 @@ class SentenceRules:
                 raise ValueError(f"sentence {name} holds no keyword")
             if "(v)" in s or "(x)" in s:
                 pattern = re.escape(s).replace(re.escape("(v)"), r"(?P<v>\d+(?:\.\d+)*)").replace(re.escape("(x)"), "(?P<x>.+)")
+                pattern = re.sub(r"\\\[(.*?)\\\]", r"(?:\1)?", pattern)
                 self.open.append((name, re.compile(pattern)))
-        # a sentence of an "either version" kind may be cut at its colon; joined ones are tried too
-        self.longest = 1 + max(len(re.findall(r"[;:.!?] ", s)) for s in known.values())
+        # what no run of parts that is a known sentence can exceed without its open place, and the words it can start with
+        self.longest = max(len(x) for x in known.values())
+        self.starts = {x.split()[0].rstrip(".!?;:,") for x in known.values()}
         self.rules = rules
 
     def identify(self, sentence: str) -> tuple[str, str] | None:
@@ -166,15 +171,21 @@ class SentenceRules:
         if not any(k in low for k in KEYWORDS):
             return [], [], 0
         cuts, out, k = sentences(text), [], 0
+        parts = [normalised(text[a:b]) for a, b in cuts]
         while k < len(cuts):
             step = 1
             # a known sentence may hold marks or line ends, so runs of parts are tried, longest first
-            for n in range(min(2 * self.longest + 8, len(cuts) - k), 0, -1):
+            for n in reversed(self._runs(parts, k)):
                 a, b = cuts[k][0], cuts[k + n - 1][1]
                 part = text[a:b]
-                if len(part) > 1200 or not any(w in part.lower() for w in KEYWORDS):
+                if not any(w in part.lower() for w in KEYWORDS):
                     continue
-                found = self.identify(normalised(part)) if "\n" not in part else self._joined(normalised(part))
+                found = self.identify(normalised(part))
+                if found and "\n" in part and SENTENCES.get(found[0], "").endswith("(x)"):
+                    if found[0] in ONE_LINE:
+                        continue
+                    found, n = self._wrapped(text, cuts, parts, k, found[0])
+                    b = cuts[k + n - 1][1]
                 if found:
                     out.append((*found, a, b))
                     step = n
@@ -202,10 +213,31 @@ class SentenceRules:
             licences = [Found(RESERVED, a, b) for name, _, a, b in out if name == "all-rights"]
         return out, sorted(licences, key=lambda f: (f.first, f.last)), taken.count(False)
 
-    def _joined(self, sentence: str) -> tuple[str, str] | None:
-        """A sentence of several lines must be known as a whole; open ends would take in what follows."""
-        found = self.identify(sentence)
-        return found if found and not SENTENCES.get(found[0], "").endswith("(x)") else None
+    def _runs(self, parts: list[str], k: int) -> list[int]:
+        """Lengths of the runs of parts from ``k`` on that can be a known sentence."""
+        if not parts[k] or parts[k].split()[0].rstrip(".!?;:,") not in self.starts:
+            return []
+        out, size = [], 0
+        for n, part in enumerate(parts[k:], 1):
+            size += len(part)
+            if size > self.longest and n > 1:
+                break
+            if part:
+                out.append(n)
+        return out
+
+    def _wrapped(self, text: str, cuts: list[tuple[int, int]], parts: list[str], k: int, name: str) -> tuple[tuple[str, str], int]:
+        """The sentence ``name`` at part ``k`` and its parts; its open place ends at a closing mark, a blank line or a known sentence."""
+        of = lambda n: self.identify(normalised(text[cuts[k][0] : cuts[k + n - 1][1]]))
+        n = next(n for n in self._runs(parts, k) if (of(n) or ("",))[0] == name)
+        while k + n < len(cuts) and parts[k + n]:
+            end, start = cuts[k + n - 1][1], cuts[k + n][0]
+            if text[end - 1] in ".!?;:" or text[end:start].count("\n") > 1:
+                break
+            if any(self.identify(normalised(text[start : cuts[k + n + m - 1][1]])) for m in self._runs(parts, k + n)):
+                break
+            n += 1
+        return of(n), n
 
 
 def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
