@@ -19,10 +19,11 @@ TABLES = (
 
 
 def cell(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return ""
     if isinstance(v, float):
-        return "" if v != v else repr(v + 0.0)
+        # pandas reads whole numbers with nulls as floats
+        return "" if v != v else str(int(v)) if v.is_integer() else repr(v)
     if isinstance(v, pd.Timestamp):
         return v.isoformat()
     if hasattr(v, "tolist"):
