@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontam, langid, licences, lm, maintext, neardup, pieces, quality, tokencount
+from tidewatch.llm import chat, decontam, langid, licences, lm, maintext, neardup, pieces, quality, runs, sharding, tokencount, variants
 
 # Public vocabulary files; their folder is a parameter.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -100,3 +100,18 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_scoring")
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants", variants.SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_virtual_slot_shards", sharding.SQL)
+def op12_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.find_runs(table(spark, sf_dir, "documents"), rewrite=runs.planted))
