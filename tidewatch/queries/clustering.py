@@ -16,13 +16,21 @@ from tidewatch.streaming import online as stream_online
 P = TrendParams()
 
 
-def topic_vectors(spark, sf):
-    """Posts of each user carry one unit vector, far from all others: 256 signs from a hash of the user."""
+def topic_vectors(spark, sf, blurred=False):
+    """Posts of each user carry one unit vector, far from all others: 256 signs from a hash of the user.
+
+    Blurred ones have two of the four signs turned at about every sixteenth digit, by a hash of the post: any two posts of a user
+    have a cosine of about 0.88, and nearly every post has a vector of its own.
+    """
+    hexed = lambda c: F.filter(F.split(F.sha2(c.cast("string"), 256), ""), lambda d: d != "")
     nibble = F.array(*[F.array(*[F.lit(1 / 16 if n >> b & 1 else -1 / 16) for b in range(4)]) for n in range(16)])
+    number = lambda d: F.instr(F.lit("0123456789abcdef"), d)
     users = user_posts(spark, sf)
-    digits = F.split(F.sha2(F.col("cluster_id").cast("string"), 256), "")
-    hexed = F.filter(digits, lambda c: c != "")
-    signs = F.flatten(F.transform(hexed, lambda c: F.element_at(nibble, F.instr(F.lit("0123456789abcdef"), c))))
+    if blurred:
+        digit = lambda u, p: F.element_at(nibble, F.when(p == "0", (number(u) - 1).bitwiseXOR(F.lit(3)) + 1).otherwise(number(u)))
+        signs = F.flatten(F.zip_with(hexed(F.col("cluster_id")), hexed(F.col("post_id")), digit))
+        return users.select("post_id", "timestamp", signs.cast("array<float>").alias("embedding"))
+    signs = F.flatten(F.transform(hexed(F.col("cluster_id")), lambda c: F.element_at(nibble, number(c))))
     vectors = users.select("cluster_id").distinct().select("cluster_id", signs.cast("array<float>").alias("embedding"))
     return users.join(vectors, "cluster_id").select("post_id", "timestamp", "embedding")
 
@@ -59,6 +67,18 @@ def online_clusters_in_chunks(spark, sf):
     return _founders(materialize(online.online_clusters(topic_vectors(spark, sf), P, bits=12, coarse_bits=4), "assigned"))
 
 
+@query("online_clusters_blurred", SQL_FOUNDERS)
+def online_clusters_blurred(spark, sf):
+    """Posts that differ within their topic: hardly two share a cell, and topics still don't mix."""
+    return _founders(materialize(online.online_clusters(topic_vectors(spark, sf, blurred=True), P), "assigned"))
+
+
+@query("online_clusters_blurred_in_chunks", SQL_FOUNDERS)
+def online_clusters_blurred_in_chunks(spark, sf):
+    """Blurred posts in cells so wide that they hold several topics: impure sums are divided."""
+    return _founders(materialize(online.online_clusters(topic_vectors(spark, sf, blurred=True), P, bits=6, coarse_bits=2), "assigned"))
+
+
 def _doc_vectors(spark, sf):
     posts = materialize(doc_posts(spark, sf), "posts")
     return posts, materialize(embedding.embed_corpus(posts), "vectors")
