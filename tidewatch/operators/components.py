@@ -36,6 +36,29 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     return leaves.unionByName(roots.withColumn("component", F.col("node")))
 
 
+def tree_roots(parents: DataFrame, src: str = "src", dst: str = "dst", keys: list[str] | None = None) -> DataFrame:
+    """``[keys,] node, root`` of a forest in which every row links a node to its one parent; roots have no row.
+
+    Every round each node's link is replaced by its parent's link, so paths halve: as many rounds as the logarithm of the depth, each
+    one join and one written table.
+    """
+    keys = keys or []
+    spark = parents.sparkSession
+    links, path = parents.select(*keys, F.col(src).alias("node"), F.col(dst).alias("root")), None
+    while True:
+        seen, after = Observation(), scratch_path(spark, "roots")
+        if path is None:
+            links.observe(seen, F.count(F.lit(1)).alias("moved")).write.parquet(after)
+        else:
+            then = links.select(*keys, F.col("node").alias("root"), F.col("root").alias("further"))
+            stepped = links.join(then, [*keys, "root"], "left").select(*keys, "node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+            stepped.observe(seen, F.count_if("moved").alias("moved")).drop("moved").write.parquet(after)
+            discard(spark, path)
+        path, links = after, spark.read.schema(links.schema).parquet(after)
+        if not seen.get["moved"]:
+            return links
+
+
 def _written(pairs: DataFrame, keys: list[str]) -> tuple[str, dict]:
     """The table's path, and its row count and an order-free checksum."""
     seen = Observation()

@@ -3,8 +3,8 @@
 A bounded number of vectors, drawn by a hash, are the pivots. Every vector belongs to its nearest pivot (an angular Voronoi cell); within
 ``SETTLED`` degrees of it it is settled there. Angles obey the triangle inequality: a vector whose angle to a pivot exceeds its own reach plus
 ``SETTLED`` can't be similar enough to anything settled there. So of the settled targets a query visits only the blocks of cells
-it can reach; unsettled targets are dealt into blocks that every query visits. In a block the targets of a cell have a centre and
-a radius of their own, and the same inequality passes over cells before any product is taken. What is left is compared by the
+it can reach; unsettled targets are dealt into blocks that every query visits. In a block the targets are gathered into narrow cells
+once more, each with a centre and a radius of its own, and the same inequality passes over cells before any product is taken. What is left is compared by the
 cosine, in matrix products of bounded size. Nothing is lost at any number of pivots; their number decides how much is passed over.
 
 Blocks hold about ``BLOCK`` targets of one epoch of time, so a task holds one block, and its queries stream through.
@@ -22,17 +22,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import times
-from tidewatch.runtime import by_key
 
-PIVOTS, SETTLED, BLOCK = 1024, 25.0, 8192
+PIVOTS, SETTLED, BLOCK = 1024, 25.0, 16_384
+# Rows picked in a round of narrowing, and how many times as many it must settle for another round.
+PICKED, GATHERED = 256, 1.25
+# Shuffle partitions for each one of the session.
+TASKS = 4
 # Slices of time in an epoch; rows of queries and of targets in one product; against rounding, in radians.
-EPOCH_SLICES, QUERY_ROWS, TARGET_ROWS, SLACK = 16, 512, 4096, 1e-6
+EPOCH_SLICES, QUERY_ROWS, TARGET_ROWS, SLACK = 16, 1024, 1024, 1e-6
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def packed(vectors: np.ndarray) -> pa.Array:
+    """Rows as binary values: they move between Spark and Python as whole blocks, not number by number."""
+    data = np.ascontiguousarray(vectors, dtype=np.float64)
+    ends = np.arange(len(data) + 1, dtype=np.int64) * (data.shape[1] * 8 if data.ndim == 2 else 0)
+    return pa.Array.from_buffers(pa.large_binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of ``packed`` values without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float64).reshape(len(column), -1)
+
+
 def reach_of(threshold: float) -> float:
     """The largest angle at which two vectors are similar enough."""
     return math.acos(min(max(threshold, -1.0), 1.0))
@@ -41,7 +59,7 @@ def reach_of(threshold: float) -> float:
 def draw_pivots(df: DataFrame, vector: str, name: str, n: int = PIVOTS) -> np.ndarray:
     """``n`` vectors at most, the first by a hash of their names: the same ones for any partitioning."""
     rows = df.orderBy(F.xxhash64(name), name).limit(n).select(vector).collect()
-    return np.array([r[0] for r in rows], dtype=np.float64)
+    return np.array([np.frombuffer(r[0]) for r in rows], dtype=np.float64)
 
 
 def settled(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
@@ -53,7 +71,7 @@ def settled(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                scores = matrix(batch.column(at)) @ pivots.T
+                scores = unpacked(batch.column(at)) @ pivots.T
                 best = scores.argmax(axis=1)
                 near = scores[np.arange(len(best)), best] >= least
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(near)], names=[*batch.schema.names, "pivot", "near"])
@@ -71,7 +89,7 @@ def with_visits(df: DataFrame, vector: str, pivots: np.ndarray, reach: str, sett
         for batch in batches:
             if not batch.num_rows:
                 continue
-            angles = np.arccos(np.clip(matrix(batch.column(at[0])) @ pivots.T, -1, 1))
+            angles = np.arccos(np.clip(unpacked(batch.column(at[0])) @ pivots.T, -1, 1))
             reaches, inner, outer = (batch.column(k).to_numpy() for k in at[1:])
             near = angles <= (reaches + math.radians(SETTLED) + SLACK)[:, None]
             visits = [[*np.unique(numbers[row] % max(m, 1)).tolist()[: int(m)], *range(-int(o), 0)] for row, m, o in zip(near, inner, outer)]
@@ -80,10 +98,33 @@ def with_visits(df: DataFrame, vector: str, pivots: np.ndarray, reach: str, sett
     return df.mapInArrow(visit, schema)
 
 
+def narrow_cells(vectors: np.ndarray) -> np.ndarray:
+    """A cell number for each row: within ``SETTLED`` degrees of one of the rows picked, in rounds over what is left.
+
+    When a round settles hardly more than the rows it picked, there is nothing to gather and the rest is one wide cell.
+    """
+    cells, left, number = np.zeros(len(vectors), np.int64), np.arange(len(vectors)), 0
+    least = math.cos(math.radians(SETTLED))
+    while len(left):
+        picked = left[:: -(-len(left) // PICKED)]
+        scores = vectors[left] @ vectors[picked].T
+        best = scores.argmax(axis=1)
+        near = scores[np.arange(len(left)), best] >= least
+        cells[left[near]] = number + best[near]
+        number += len(picked)
+        cells[left[~near]] = number
+        left = left[~near]
+        if near.sum() < GATHERED * len(picked):
+            break
+        number += 1
+    return cells
+
+
 class Cells:
     """Vectors grouped by cell, each cell with its centre and the largest angle to it."""
 
-    def __init__(self, vectors: np.ndarray, cells: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray) -> None:
+        cells = narrow_cells(vectors)
         self.order = np.argsort(cells, kind="stable")
         self.vectors = vectors[self.order]
         self.starts = np.flatnonzero(np.diff(cells[self.order], prepend=cells.min() - 1))
@@ -95,17 +136,20 @@ class Cells:
 
     def products(self, queries: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
         """Rows of ``queries``, a slice of the ordered targets, and their cosines, for all that may be within reach."""
+        near = np.empty((len(self.starts), len(queries)), bool)
         for first in range(0, len(queries), QUERY_ROWS):
-            part = queries[first : first + QUERY_ROWS]
-            near = np.arccos(np.clip(part @ self.centers.T, -1, 1)) <= reach + self.radius + SLACK
-            for c in np.flatnonzero(near.any(axis=0)):
-                rows = np.flatnonzero(near[:, c])
+            angles = np.arccos(np.clip(self.centers @ queries[first : first + QUERY_ROWS].T, -1, 1))
+            near[:, first : first + QUERY_ROWS] = angles <= (reach + self.radius + SLACK)[:, None]
+        for c in np.flatnonzero(near.any(axis=1)):
+            every = np.flatnonzero(near[c])
+            for first in range(0, len(every), QUERY_ROWS):
+                rows = every[first : first + QUERY_ROWS]
                 for a in range(int(self.starts[c]), int(self.ends[c]), TARGET_ROWS):
                     b = min(a + TARGET_ROWS, int(self.ends[c]))
-                    yield first + rows, slice(a, b), np.round(part[rows] @ self.vectors[a:b].T, 9)
+                    yield rows, slice(a, b), np.round(queries[rows] @ self.vectors[a:b].T, 9)
 
 
-_FIELDS = ["run", "epoch", "block", "query", "us", "node", "slice", "alive", "pivot", "centroid"]
+_FIELDS = ["run", "epoch", "block", "query", "us", "node", "slice", "alive", "centroid"]
 
 
 class _Targets:
@@ -114,8 +158,8 @@ class _Targets:
     def __init__(self, rows: pa.Table) -> None:
         us, nodes = rows.column("us").to_numpy(), rows.column("node").to_pylist()
         order = np.array(sorted(range(len(nodes)), key=lambda k: (us[k], nodes[k])))
-        vectors = matrix(rows.column("centroid").combine_chunks())[order]
-        self.cells = Cells(vectors, rows.column("pivot").to_numpy()[order].astype(np.int64))
+        vectors = unpacked(rows.column("centroid"))[order]
+        self.cells = Cells(vectors)
         order = order[self.cells.order]
         self.rank = self.cells.order  # of time
         self.us, self.nodes = us[order], np.array(nodes, dtype=object)[order]
@@ -126,7 +170,7 @@ class _Targets:
         us, at = queries.column("us").to_numpy(), queries.column("slice").to_numpy()
         nodes = np.array(queries.column("node").to_pylist(), dtype=object)
         best, who = np.full(len(us), -np.inf), np.zeros(len(us), np.int64)
-        for rows, part, scores in self.cells.products(matrix(queries.column("centroid")), reach_of(threshold)):
+        for rows, part, scores in self.cells.products(unpacked(queries.column("centroid")), reach_of(threshold)):
             now, when = us[rows][:, None], self.us[part]
             before = when < now
             same = np.nonzero(when == now)
@@ -176,7 +220,7 @@ def most_similar_before(vectors: DataFrame, thresholds: dict[str, float], reach:
     """``run, src, dst``: each of ``run, node, us, slice, alive, centroid`` and the most similar one at its run's threshold that began before
     it (by ``us``, then ``node``) and whose life, from ``slice`` to ``alive``, holds its slice. Of equals the earliest.
 
-    ``centroid`` holds unit vectors, ``reach`` is the angle of the run's threshold. ``vectors`` is read several times: a written table.
+    ``centroid`` holds ``packed`` unit vectors, ``reach`` is the angle of the run's threshold. ``vectors`` is read several times: a written table.
     """
     pivots = draw_pivots(vectors, "centroid", "node", n_pivots)
     if not len(pivots):
@@ -190,8 +234,10 @@ def most_similar_before(vectors: DataFrame, thresholds: dict[str, float], reach:
     targets = targets.join(sizes, ["run", "epoch"]).withColumns({"block": number, "query": F.lit(False)}).select(*_FIELDS)
     queries = vectors.withColumn("epoch", times.floor_div(F.col("slice"), EPOCH_SLICES)).join(sizes, ["run", "epoch"]).withColumn("reach", reach)
     queries = with_visits(queries, "centroid", pivots, "reach", "inner_blocks", "outer_blocks")
-    queries = queries.withColumns({"block": F.explode("visits"), "query": F.lit(True), "pivot": F.lit(0)}).select(*_FIELDS)
-    rows = by_key(targets.unionByName(queries), "run", "epoch", "block").sortWithinPartitions("run", "epoch", "block", "query")
+    queries = queries.withColumns({"block": F.explode("visits"), "query": F.lit(True)}).select(*_FIELDS)
+    # blocks are few and dear, so they are dealt to more tasks than there are blocks a core
+    tasks = TASKS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = targets.unionByName(queries).repartition(tasks, "run", "epoch", "block").sortWithinPartitions("run", "epoch", "block", "query")
     found = rows.mapInArrow(_search(thresholds), "run string, src string, dst string, us bigint, cosine double")
     # of equally similar ones the earliest, which keeps the trees flat
     best = F.min(F.struct((-F.col("cosine")).alias("cosine"), "us", "dst")).alias("best")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import reduce
@@ -24,8 +25,11 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a task has one core, so its matrix products have one thread
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
         **conf,
     }
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # for the workers of a local session, which inherit it
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
