@@ -13,7 +13,8 @@ infinity. A path of finite weight then exists exactly once, and it is the sequen
 across a border of a path would also be made in the pair on its two sides alone.
 
 Texts are composed in units between places that no piece reaches across; units met before are remembered per task, up
-to a fixed number, which changes the time only.
+to a fixed number: when as many are held, they become the older half and a unit met again moves to the newer one, so frequent
+units stay. That changes the time only.
 
 A null text is empty; an empty text has no pieces. Every row gives a row, in all its columns.
 """
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-REMEMBERED, REMEMBERED_PAIRS = 400_000, 500_000
+# Units and pairs of pieces in each half of what a task remembers.
+REMEMBERED, REMEMBERED_PAIRS = 120_000, 150_000
 SLICE_CHARS = 1 << 21
 # Longer units are composed from the left, without recursion.
 SHORT_UNIT = 64
@@ -68,7 +70,9 @@ class PieceTransducer:
         self.sizes = {c: tuple(sorted(n, reverse=True)) for c, n in sizes.items()}
         self.derived: dict[str, list[tuple[float, str, str]] | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.older_fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _borders(self) -> str:
         """The pattern of a unit: text between places that no piece reaches across.
@@ -139,7 +143,11 @@ class PieceTransducer:
         if known is not None:
             return known
         if len(self.fits) >= REMEMBERED_PAIRS:
-            self.fits.clear()
+            self.older_fits, self.fits = self.fits, {}
+        known = self.older_fits.get(key)
+        if known is not None:
+            self.fits[key] = known
+            return known
         left, right = self._derivation(before) if before else [], self._derivation(piece)
         known = left is not None and right is not None
         if known and before:
@@ -226,12 +234,13 @@ class PieceTransducer:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        known = self.known
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         units = self.units.findall(self.normalise(text))
-        if len(known) > REMEMBERED:
-            known.clear()
         for unit in set(units).difference(known):
-            known[unit] = np.array(self.shortest_path(unit), np.int32).tobytes()
+            path = older.get(unit)
+            known[unit] = np.array(self.shortest_path(unit), np.int32).tobytes() if path is None else path
         return np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32)
 
     def decode(self, ids) -> str:
@@ -263,9 +272,20 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield first, len(texts)
 
 
-def _encoder(path: str):
+def _read(surfaces: list[bytes], drop: int, ids: list[np.ndarray]) -> pa.Array:
+    """The texts of id sequences; bytes that are no UTF-8 read as the replacement character."""
+    raw = [b"".join(map(surfaces.__getitem__, i.tolist())) for i in ids]
+    raw = [r[drop:] if r.startswith(b" ") else r for r in raw]
+    try:
+        return pa.array(raw, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
+
+
+def _encoder(path: str, and_back: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = PieceTransducer(path)
+        surfaces, drop = machine.surfaces(), 1 if machine.prefix else 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -274,7 +294,10 @@ def _encoder(path: str):
                 ids = [machine.encode(t) for t in texts[first:last]]
                 cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), values], ["row", "ids"])
+                columns = [batch.column(0).slice(first, last - first), values]
+                if and_back:
+                    columns.append(_read(surfaces, drop, ids))
+                yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "text"][: len(columns)])
 
     return run
 
@@ -282,15 +305,10 @@ def _encoder(path: str):
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = PieceTransducer(path)
-        surfaces = machine.surfaces()
-        drop = 1 if machine.prefix else 0
+        surfaces, drop = machine.surfaces(), 1 if machine.prefix else 0
         for batch in batches:
-            texts = []
-            for ids in batch.column(1):
-                raw = b"".join(map(surfaces.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b""
-                text = raw.decode("utf-8", "replace")
-                texts.append(text[drop:] if text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+            ids = [i.values.to_numpy() if i.is_valid else np.zeros(0, np.int32) for i in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _read(surfaces, drop, ids)], ["row", "text"])
 
     return run
 
@@ -308,6 +326,13 @@ def encode(docs: DataFrame, model_path: str, text_column: str = "text", ids_colu
     return packed.mapInArrow(_encoder(model_path), schema).select("row.*", F.col("ids").alias(ids_column))
 
 
+def encode_and_decode(docs: DataFrame, model_path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
+    """The rows with the piece ids in ``ids_column`` and, in ``text_column``, the text that these ids stand for."""
+    packed = docs.drop(ids_column).select(_kept(docs.drop(ids_column), text_column).alias("row"), F.col(text_column).cast("string").alias("text"))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, text string"
+    return packed.mapInArrow(_encoder(model_path, and_back=True), schema).select("row.*", F.col("ids").alias(ids_column), F.col("text").alias(text_column))
+
+
 def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
     """The rows without their ids, with the text the ids stand for in ``text_column``."""
     packed = encoded.drop(text_column) if ids_column != text_column else encoded

@@ -56,12 +56,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding them gives its text (a visible space reads as a space)."""
     plain = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(plain, 256).alias("digest"))
-    encoded = pieces.encode(docs, vocabulary(PIECE_BPE)).withColumn("kept_ids", F.col("ids"))
-    decoded = pieces.decode(encoded, vocabulary(PIECE_BPE))
-    return decoded.select(
+    return pieces.encode_and_decode(docs, vocabulary(PIECE_BPE)).select(
         "doc_id",
-        F.size("kept_ids").cast("long").alias("n_tokens"),
-        F.col("kept_ids").alias("ids"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
         F.char_length("text").cast("long").alias("decoded_chars"),
         (F.sha2("text", 256) == F.col("digest")).alias("round_trip"),
     )
