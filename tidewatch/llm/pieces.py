@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 # Units and pairs of pieces in each half of what a task remembers.
-REMEMBERED, REMEMBERED_PAIRS = 120_000, 150_000
+REMEMBERED, REMEMBERED_PAIRS = 300_000, 400_000
 SLICE_CHARS = 1 << 21
 # Longer units are composed from the left, without recursion.
 SHORT_UNIT = 64
