@@ -119,9 +119,12 @@ class AttentionModel:
                 used[name] += 1
             dx = flat(dx)
             for name, ids in (("heads", h.ravel()), ("tails", t.ravel())):
-                rows, inverse = np.unique(ids, return_inverse=True)
-                order = np.argsort(inverse, kind="stable")
-                g = np.add.reduceat(dx[order], np.searchsorted(inverse[order], np.arange(len(rows))), axis=0)
+                ids = ids.astype(np.int16)  # small numbers are sorted by counting
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                starts = np.flatnonzero(np.diff(ids, prepend=np.int16(-1)))
+                rows = ids[starts]
+                g = np.add.reduceat(dx[order], starts, axis=0)
                 squares[name][rows] += g * g
                 p[name][rows] -= RATE * g / np.sqrt(squares[name][rows] + 1e-10)
                 used[name][rows] += 1

@@ -41,8 +41,8 @@ from tidewatch.runtime import materialize
 FOLDS = 10
 SMOOTHING = 0.1
 BLOCK_BYTES = 8 << 20
-# Training passes; each steps over another one of as many shares of the windows.
-ROUNDS = 2
+# Training passes; each steps over another one of as many shares of the windows, so that all of them are stepped over once.
+ROUNDS = 1
 OWN_CLASS = 47
 END = 0
 
