@@ -24,11 +24,12 @@ def _labelled(spark, sf):
         "lang",
         "source",
         F.substring("text", 1, 80).alias("title"),
+        "text",
         F.when(F.col("toxic") == 1, F.lit(-1)).otherwise(F.regexp_extract("source", r"(\d+)$", 1).cast("int")).cast("bigint").alias("cluster_id"),
     )
 
 
-SQL_LABELLED = """labelled AS (SELECT 'doc_' || d.doc_id AS post_id, d.doc_id, lang, source, substr(text, 1, 80) AS title,
+SQL_LABELLED = """labelled AS (SELECT 'doc_' || d.doc_id AS post_id, d.doc_id, lang, source, substr(text, 1, 80) AS title, text,
   CASE WHEN toxic = 1 THEN -1 ELSE CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) END AS cluster_id
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
@@ -140,10 +141,10 @@ def _quoted(words):
     return ", ".join("'" + w + "'" for w in words)
 
 
-def terms_sql(source: str) -> str:
-    """CTEs up to ``term_score(cluster_id, term, score)`` from ``source(cluster_id, post_id, title)``."""
-    return f"""tk AS (SELECT cluster_id, post_id, list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
-      lambda w: w NOT IN ({_quoted(STOP_WORDS)})) AS words FROM {source} WHERE trim(title, ' ' || chr(10)) <> ''),
+def terms_sql(source: str, title: str = "title") -> str:
+    """CTEs up to ``term_score(cluster_id, term, score)`` from ``source(cluster_id, post_id, <title>)``."""
+    return f"""tk AS (SELECT cluster_id, post_id, list_filter(regexp_extract_all(lower({title}), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+      lambda w: w NOT IN ({_quoted(STOP_WORDS)})) AS words FROM {source} WHERE trim({title}, ' ' || chr(10)) <> ''),
   nd AS (SELECT cluster_id, count(*) AS n FROM tk GROUP BY cluster_id),
   bi AS (SELECT cluster_id, post_id, unnest(words) AS term FROM tk UNION ALL
     SELECT cluster_id, post_id, words[i] || ' ' || words[i + 1] FROM (
@@ -170,28 +171,28 @@ LABEL_SQL = """heads AS (SELECT cluster_id, count(*) FILTER (trim(title, ' ' ||
 
 @query(
     "tfidf_terms",
-    f"WITH {SQL_LABELLED}, {terms_sql('labelled')} SELECT cluster_id, term, round(score, 6) AS score FROM term_score",
+    f"WITH {SQL_LABELLED}, {terms_sql('labelled', 'text')} SELECT cluster_id, term, round(score, 6) AS score FROM term_score",
 )
 def tfidf_terms(spark, sf):
-    return rounded(labels.term_scores(_labelled(spark, sf)), "score")
+    return rounded(labels.term_scores(_labelled(spark, sf), title="text"), "score")
 
 
 @query(
     "top_terms",
-    f"WITH {SQL_LABELLED}, {terms_sql('labelled')} SELECT cluster_id, term, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 3",
+    f"WITH {SQL_LABELLED}, {terms_sql('labelled', 'text')} SELECT cluster_id, term, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 3",
 )
 def top_terms(spark, sf):
-    return labels.top_terms(labels.term_scores(_labelled(spark, sf))).select("cluster_id", "term", "rank")
+    return labels.top_terms(labels.term_scores(_labelled(spark, sf), title="text")).select("cluster_id", "term", "rank")
 
 
 @query(
     "topic_labels",
-    f"""WITH {SQL_LABELLED}, titles AS (SELECT cluster_id, post_id, CASE WHEN cluster_id = 7 THEN ' ' WHEN cluster_id = 8 THEN 'the x' ELSE title END AS title
+    f"""WITH {SQL_LABELLED}, titles AS (SELECT cluster_id, post_id, CASE WHEN cluster_id = 7 THEN ' ' WHEN cluster_id = 8 THEN 'the x' ELSE text END AS title
       FROM labelled), {terms_sql('titles')}, {LABEL_SQL.format(source='titles')} SELECT * FROM topic""",
 )
 def topic_labels(spark, sf):
     """One cluster gets blank titles and one gets stop words only, to reach both fallbacks."""
-    blank = F.when(F.col("cluster_id") == 7, " ").when(F.col("cluster_id") == 8, "the x").otherwise(F.col("title"))
+    blank = F.when(F.col("cluster_id") == 7, " ").when(F.col("cluster_id") == 8, "the x").otherwise(F.col("text"))
     return labels.topic_labels(_labelled(spark, sf).withColumn("title", blank))
 
 
