@@ -181,6 +181,26 @@ def test_windows_are_open_on_the_left(spark):
     assert got.to_dict() == {0: "bc", 1: "cd", 2: "cd"}  # (0, 24], (6, 30], (12, 36]
 
 
+def test_panes_equal_windows(spark):
+    rng = np.random.default_rng(3)
+    # a hot key with a third of the posts, gaps longer than a window, times on and beside the borders
+    rows = [(f"p{i}", int(k), T0 + dt.timedelta(minutes=int(m))) for i, (k, m) in enumerate(zip(rng.integers(0, 6, 900) % 4, rng.integers(0, 240, 900) * 30))]
+    rows += [("far", 9, hours(400)), ("far", 9, hours(400)), ("none", None, hours(50))]
+    df = spark.createDataFrame(rows, "post_id string, tracked_id bigint, timestamp timestamp")
+    for window, step in ((24.0, 6.0), (5.0, 3.0), (2.0, 6.0)):
+        grid = sliding.RefreshGrid.of(df, window, step)
+        counted = sliding.panes(df, grid, ["tracked_id"])
+        got = {(r["tracked_id"], r["refresh_no"], r["refresh_ts"]): r["size"] for r in sliding.window_sizes(counted, grid, ["tracked_id"]).collect()}
+        members = sliding.window_members(df, window, step)
+        want = {(r["tracked_id"], r["refresh_no"], r["refresh_ts"]): r["count"] for r in members.groupBy("tracked_id", "refresh_no", "refresh_ts").count().collect()}
+        assert got == want and len(want) > 20
+        for least in (0, 5, 10_000):
+            assert sliding.pane_cost(counted, grid, least).collect() == sliding.refresh_cost(members, least).collect()
+    empty = df.limit(0)
+    grid = sliding.RefreshGrid.of(empty)
+    assert sliding.window_sizes(sliding.panes(empty, grid, ["tracked_id"]), grid, ["tracked_id"]).count() == 0
+
+
 def test_labels(spark):
     rows = [
         (1, "a", "Chip shortage hits the chip industry"),

@@ -227,7 +227,8 @@ def window_membership(spark, sf):
       SELECT refresh_no, count(*) AS n FROM member GROUP BY ALL HAVING count(*) >= 5)""",
 )
 def refresh_cost(spark, sf):
-    return sliding.refresh_cost(_members(spark, sf), 5)
+    _, grid, counted = _paned(spark, sf)
+    return sliding.pane_cost(counted, grid, 5)
 
 
 SQL_LOG = """, sz AS (SELECT refresh_no, t, cluster_id AS tracked_id, count(*) AS size FROM member GROUP BY ALL),
@@ -237,10 +238,15 @@ SQL_LOG = """, sz AS (SELECT refresh_no, t, cluster_id AS tracked_id, count(*) A
   flagged AS (SELECT *, CASE WHEN is_new THEN size >= 5 ELSE growth_ratio >= 2.0 END AS surging FROM log)"""
 
 
-def _refresh_log(spark, sf):
-    members = _members(spark, sf).withColumn("tracked_id", F.col("cluster_id"))
-    members = materialize(members, "members")
-    return materialize(sliding.refresh_log(members), "log"), members
+def _paned(spark, sf):
+    """The posts, the refreshes and the posts counted by pane, written once."""
+    assigned = materialize(_assigned(spark, sf).withColumnRenamed("cluster_id", "tracked_id"), "assigned")
+    grid = sliding.RefreshGrid.of(assigned, 24.0, 6.0)
+    return assigned, grid, materialize(sliding.panes(assigned, grid, ["tracked_id"]), "panes")
+
+
+def _refresh_log(counted, grid):
+    return sliding.refresh_log(sliding.window_sizes(counted, grid, ["tracked_id"]))
 
 
 @query(
@@ -249,7 +255,8 @@ def _refresh_log(spark, sf):
       CASE WHEN is_new THEN -1 ELSE round(growth_ratio, 6) END AS growth_ratio, surging FROM flagged""",
 )
 def surging_flags(spark, sf):
-    log, _ = _refresh_log(spark, sf)
+    _, grid, counted = _paned(spark, sf)
+    log = _refresh_log(counted, grid)
     flagged = log.withColumn("surging", scoring.surging(F.col("is_new"), F.col("size"), F.col("growth_ratio")))
     return flagged.select(
         "refresh_no",
@@ -276,8 +283,12 @@ SQL_OVERLAP = """, ov AS (SELECT CAST(regexp_extract(post_id, '^injected_([0-9]+
 
 
 def _sliding_detected(spark, sf):
-    log, members = _refresh_log(spark, sf)
-    return sliding.evaluate_refreshes(log, members, _truth(spark, sf))
+    """Per burst results, surging flags and cost."""
+    assigned, grid, counted = _paned(spark, sf)
+    log = materialize(_refresh_log(counted, grid), "log")
+    injected = assigned.filter(tx.burst_of(F.col("post_id")).isNotNull())
+    per_burst, flags = sliding.evaluate_refreshes(log, sliding.window_members(injected, grid=grid), _truth(spark, sf))
+    return per_burst, flags, sliding.pane_cost(counted, grid, 5)
 
 
 @query(
@@ -286,7 +297,7 @@ def _sliding_detected(spark, sf):
       detected, round(latency_seconds, 6) AS latency_seconds FROM per_burst""",
 )
 def sliding_detection(spark, sf):
-    per_burst, _ = _sliding_detected(spark, sf)
+    per_burst, _, _ = _sliding_detected(spark, sf)
     return rounded(per_burst.withColumn("burst_start", times.iso(F.col("burst_start"))), "latency_seconds")
 
 
@@ -300,8 +311,7 @@ SQL_COST = """, cost AS (SELECT count(*) AS n_refreshes, CAST(sum(n) AS BIGINT)
     + f" SELECT {SQL_RATES}, n_bursts, n_false_positive_clusters, n_refreshes, total_posts_reclustered FROM detection, cost",
 )
 def sliding_summary(spark, sf):
-    per_burst, flags = _sliding_detected(spark, sf)
-    cost = sliding.refresh_cost(_members(spark, sf), 5)
+    per_burst, flags, cost = _sliding_detected(spark, sf)
     return rounded(sliding.with_cost(bursts.detection_summary(per_burst, flags), cost), *RATES)
 
 
@@ -317,11 +327,11 @@ def sliding_summary(spark, sf):
 def method_comparison(spark, sf):
     per_burst, flags = _detected(spark, sf)
     online = bursts.detection_summary(per_burst, flags)
-    slid, slid_flags = _sliding_detected(spark, sf)
+    slid, slid_flags, cost = _sliding_detected(spark, sf)
     sliding_scores = bursts.detection_summary(slid, slid_flags)
     n_posts = _assigned(spark, sf).agg(F.count("*").alias("posts_processed"))
-    cost = sliding.refresh_cost(_members(spark, sf), 5).select(F.col("total_posts_reclustered").alias("posts_processed"))
-    compared = bursts.compare_methods(online, sliding_scores, n_posts, cost)
+    processed = cost.select(F.col("total_posts_reclustered").alias("posts_processed"))
+    compared = bursts.compare_methods(online, sliding_scores, n_posts, processed)
     return rounded(compared, "detection_rate", "precision", "median_latency_hours")
 
 
