@@ -111,11 +111,14 @@ SQL_ASSIGNED = f"""assigned AS (SELECT * FROM user_posts UNION ALL SELECT post_i
 
 
 def _assigned(spark, sf):
-    injected = injection.burst_posts(_truth(spark, sf), SPAN_H, SEED)
+    return user_posts(spark, sf).unionByName(_injected(_truth(spark, sf)))
+
+
+def _injected(truth):
+    injected = injection.burst_posts(truth, SPAN_H, SEED)
     stray = tx.hash_uniform(F.lit("stray"), F.col("post_id")) < 0.2
     cluster = F.when(stray, F.lit(3)).otherwise(F.lit(1_000_000) + F.least(tx.burst_of(F.col("post_id")), F.lit(4)))
-    mine = injected.select("post_id", cluster.cast("bigint").alias("cluster_id"), "timestamp")
-    return user_posts(spark, sf).unionByName(mine)
+    return injected.select("post_id", cluster.cast("bigint").alias("cluster_id"), "timestamp")
 
 
 @query(
@@ -227,7 +230,7 @@ def window_membership(spark, sf):
       SELECT refresh_no, count(*) AS n FROM member GROUP BY ALL HAVING count(*) >= 5)""",
 )
 def refresh_cost(spark, sf):
-    _, grid, counted = _paned(spark, sf)
+    _, _, grid, counted = _paned(spark, sf)
     return sliding.pane_cost(counted, grid, 5)
 
 
@@ -239,10 +242,13 @@ SQL_LOG = """, sz AS (SELECT refresh_no, t, cluster_id AS tracked_id, count(*) A
 
 
 def _paned(spark, sf):
-    """The posts, the refreshes and the posts counted by pane, written once."""
-    assigned = materialize(_assigned(spark, sf).withColumnRenamed("cluster_id", "tracked_id"), "assigned")
+    """The bursts and their posts, the refreshes, and all posts counted by pane; the events themselves are only read."""
+    truth = materialize(_truth(spark, sf), "truth")
+    injected = materialize(_injected(truth), "injected")
+    assigned = user_posts(spark, sf).unionByName(injected).withColumnRenamed("cluster_id", "tracked_id")
     grid = sliding.RefreshGrid.of(assigned, 24.0, 6.0)
-    return assigned, grid, materialize(sliding.panes(assigned, grid, ["tracked_id"]), "panes")
+    counted = materialize(sliding.panes(assigned, grid, ["tracked_id"]), "panes")
+    return truth, injected.withColumnRenamed("cluster_id", "tracked_id"), grid, counted
 
 
 def _refresh_log(counted, grid):
@@ -255,7 +261,7 @@ def _refresh_log(counted, grid):
       CASE WHEN is_new THEN -1 ELSE round(growth_ratio, 6) END AS growth_ratio, surging FROM flagged""",
 )
 def surging_flags(spark, sf):
-    _, grid, counted = _paned(spark, sf)
+    _, _, grid, counted = _paned(spark, sf)
     log = _refresh_log(counted, grid)
     flagged = log.withColumn("surging", scoring.surging(F.col("is_new"), F.col("size"), F.col("growth_ratio")))
     return flagged.select(
@@ -284,11 +290,10 @@ SQL_OVERLAP = """, ov AS (SELECT CAST(regexp_extract(post_id, '^injected_([0-9]+
 
 def _sliding_detected(spark, sf):
     """Per burst results, surging flags and cost."""
-    assigned, grid, counted = _paned(spark, sf)
+    truth, injected, grid, counted = _paned(spark, sf)
     log = materialize(_refresh_log(counted, grid), "log")
-    injected = assigned.filter(tx.burst_of(F.col("post_id")).isNotNull())
-    per_burst, flags = sliding.evaluate_refreshes(log, sliding.window_members(injected, grid=grid), _truth(spark, sf))
-    return per_burst, flags, sliding.pane_cost(counted, grid, 5)
+    per_burst, flags = sliding.evaluate_refreshes(log, sliding.window_members(injected, grid=grid), truth)
+    return materialize(per_burst, "per_burst"), flags, sliding.pane_cost(counted, grid, 5)
 
 
 @query(
