@@ -102,7 +102,21 @@ def brute_hits(text, items, window=10):
                 if w[k : k + n] == words[s : s + n]:
                     hit |= set(range(k, k + n))
                     found.add(item)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(x for x in found if x is not None)
+
+
+def brute_longest(text, items, window=10):
+    """Words of the longest stretch shared with an item, of at least a window or a whole shorter item."""
+    w, best = words_of(text), 0
+    for _, words in items:
+        for s in range(len(words)):
+            for k in range(len(w)):
+                n = 0
+                while s + n < len(words) and k + n < len(w) and words[s + n] == w[k + n]:
+                    n += 1
+                if n >= min(window, len(words)):
+                    best = max(best, n)
+    return best
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
@@ -110,12 +124,13 @@ def test_matches_equal_brute_force(spark, block_bytes):
     rng = random.Random(2)
     bench = [(str(k), " ".join(rng.choices(VOCABULARY[:40], k=n))) for k, n in enumerate((25, 14, 10, 4, 1, 12))]
     bench += [("null", None), ("none", "!!"), ("1", "w1 w2 w3 unseen")]
-    rows = []
+    bench += [(None, "a passage without a name of its item, which must be found like any other one"), (None, None)]
+    rows = [(60, "before it stands a passage without a name of its item, which must be found like any; then more")]
     for k in range(30):
         words = rng.choices(VOCABULARY[:60], k=rng.choice([0, 5, 80]))
         source = rng.choice(bench[:6])[1].split()
         at = rng.randrange(max(1, len(source) - 10))
-        rows.append((k, " ".join([*words, *source[at : at + 11], *words]).upper() if k % 2 else "; ".join(words)))
+        rows.append((k, " ".join([*words, *source[at : at + rng.choice([10, 11, 18])], *words]).upper() if k % 2 else "; ".join(words)))
     rows += [(50, None), (51, ""), (51, "")]
     docs = spark.createDataFrame([(i, t, "s", "n") for i, t in rows], "doc_id long, text string, spans string, items string")
     benchmark = spark.createDataFrame(bench, "item_id string, text string")
@@ -126,6 +141,8 @@ def test_matches_equal_brute_force(spark, block_bytes):
     for r in got:
         n, hit, found = brute_hits(texts[r["doc_id"]], items)
         assert (r["n_words"], sum(s["last"] - s["first"] for s in r["spans"]), r["items"]) == (n, hit, found)
+        assert r["longest"] == brute_longest(texts[r["doc_id"]], items)
+    assert next(r["longest"] for r in got if r["doc_id"] == 60) == 14
     kept = decontam.clean(docs, benchmark, block_bytes=block_bytes)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t in rows if not brute_hits(t, items)[1])

@@ -2,17 +2,19 @@
 
 Documents are cut into shards (runs of rows of about ``SHARD_BYTES`` of text). Each shard gets a sorted array of
 the word suffixes of its documents; every suffix of every benchmark item is looked up in it by binary search, which gives
-the longest verbatim match and, as one range of the array, all its places. A match of at least a window's
-words marks the window's words in each document.
+its longest match up to a window and, as one range of the array, all its places. A match of a window's
+words marks the window's words in each document. Windows that match one after another at neighbouring places are one verbatim match,
+so the longest verbatim match of a document follows from the places, at any length.
 
-* The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of text, so what travels to the tasks
-  is bounded, and each block is one pass over the documents.
+* The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of text. The driver holds one block at a time, and
+  what earlier blocks found is written out before the next one is read, so no plan carries more than one block.
 * Suffixes that begin with a word no item of the block has can match nothing and are left out of the array; such a
   word ends the suffixes before it.
 * Suffixes are ordered by their first ``window`` words. Words are the ranks of the block's vocabulary packed several
   to a 64-bit number, so that the order of numbers is the order of word sequences.
 
-A null text has no words. Null item ids and items without words give no window. Repeated rows are answered one by one;
+A null text has no words, and items without words give no window. The passages of an item with a null id are hit like others; having no
+name it isn't among a document's items. Repeated rows are answered one by one;
 items of equal id count once. A document without a match has ``n_hit = 0`` and no items. Other columns are ignored.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.words import U64, Words, alphanumeric, text_slices
+from tidewatch.runtime import materialize
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -38,7 +41,7 @@ class TestSet:
     """The words of one block of items as ranks of the block's vocabulary (1, 2, ...; 0: no such word)."""
 
     vocabulary: np.ndarray
-    item_ids: list[str]
+    item_ids: list[str | None]
     words: list[np.ndarray]
     window: int
 
@@ -70,7 +73,7 @@ class TestSet:
         return out
 
 
-def test_set(rows: list[tuple[str, str]], window: int) -> TestSet:
+def test_set(rows: list[tuple[str | None, str]], window: int) -> TestSet:
     words = Words(alphanumeric())
     ids, hashed = [], []
     texts = pa.array([text for _, text in rows], pa.large_string())
@@ -125,8 +128,8 @@ class SuffixArray:
         return known, *found
 
 
-def _marked(tests: TestSet, ranks: np.ndarray, doc: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """``document, first word, words, item`` of every place of every window of the test set."""
+def _marked(tests: TestSet, ranks: np.ndarray, doc: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """``document, first word, words, item, the window's first word in it`` of every place of every window of the test set."""
     array = SuffixArray(tests, ranks, cuts[1:][doc])
     out = []
     if not len(array.places):
@@ -143,17 +146,31 @@ def _marked(tests: TestSet, ranks: np.ndarray, doc: np.ndarray, cuts: np.ndarray
         for s in starts[near].tolist():
             length, lo, hi = array.longest([k[s] for k in keys], need)
             if length == need:
-                out += [(int(doc[p]), int(p), need, item) for p in array.places[lo:hi].tolist()]
+                out += [(int(doc[p]), int(p), need, item, s) for p in array.places[lo:hi].tolist()]
+    return out
+
+
+def longest_matches(marked: list[tuple[int, int, int, int, int]], n: int) -> np.ndarray:
+    """Words of the longest verbatim match of each of ``n`` documents, 0 without one."""
+    out = np.zeros(n, np.int64)
+    if marked:
+        doc, place, words, item, start = np.array(marked, np.int64).T
+        order = np.lexsort((start, place - start, item))
+        doc, place, words, item, start = doc[order], place[order], words[order], item[order], start[order]
+        breaks = (np.diff(item) != 0) | (np.diff(place - start) != 0) | (np.diff(start) != 1) | (np.diff(doc) != 0)
+        first = np.flatnonzero(np.append(True, breaks))
+        runs = np.diff(np.append(first, len(doc)))
+        np.maximum.at(out, doc[first], words[first] + runs - 1)
     return out
 
 
 def _matcher(tests: TestSet, shard_bytes: int):
-    """Adds what one block of items finds to ``row, text, n_words, spans, items``."""
+    """Adds what one block of items finds to ``row, text, n_words, spans, items, longest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(alphanumeric())
         for batch in batches:
-            counts, spans, items = [], [], []
+            counts, spans, items, longest = [], [], [], []
             for first, last, data, offsets in text_slices(batch.column(1), shard_bytes):
                 starts, ends, doc = words.bounds(data, offsets)
                 ranks = tests.ranks(words.hashes(data, starts, ends))
@@ -161,12 +178,16 @@ def _matcher(tests: TestSet, shard_bytes: int):
                 counts += np.diff(cuts).tolist()
                 found = [[(x["first"], x["last"]) for x in before or ()] for before in batch.column(3)[first:last].to_pylist()]
                 named = [set(before or ()) for before in batch.column(4)[first:last].to_pylist()]
-                for d, place, length, item in _marked(tests, ranks, doc, cuts):
+                marked = _marked(tests, ranks, doc, cuts)
+                for d, place, length, item, _ in marked:
                     found[d].append((place - int(cuts[d]), place - int(cuts[d]) + length))
-                    named[d].add(tests.item_ids[item])
+                    if tests.item_ids[item] is not None:
+                        named[d].add(tests.item_ids[item])
+                before = batch.column(5)[first:last].to_numpy(zero_copy_only=False)
+                longest += np.maximum(before, longest_matches(marked, last - first)).tolist()
                 spans += [[{"first": a, "last": b} for a, b in merged(x)] for x in found]
                 items += [sorted(x) for x in named]
-            made = [pa.array(x, batch.schema.field(k).type) for k, x in ((2, counts), (3, spans), (4, items))]
+            made = [pa.array(x, batch.schema.field(k).type) for k, x in ((2, counts), (3, spans), (4, items), (5, longest))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], batch.schema.names)
 
     return run
@@ -183,11 +204,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def test_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def test_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks; the driver holds one block and one partition of the items at a time."""
     block, held = [], 0
     rows = benchmark.select(F.col(id_column).cast("string"), F.col(text_column).cast("string"))
-    for item, text in rows.filter(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).toLocalIterator():
+    for item, text in rows.toDF("item", "text").filter("text is not null").toLocalIterator():
         size = len(text.encode())
         if block and held + size > block_bytes:
             yield block
@@ -208,25 +229,31 @@ def matched_rows(
     shard_bytes: int = SHARD_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Every row of ``docs`` as ``row``, with ``n_words``, the covered word ranges (``spans``, disjoint and in order) and the ids of
-    the ``items`` found. One pass without a shuffle; each block of the benchmark adds a step to it."""
+    """Every row of ``docs`` as ``row``, with ``n_words``, the covered word ranges (``spans``, disjoint and in order), the ids of
+    the ``items`` found and the words of the ``longest`` verbatim match. One pass for each block of the benchmark, without a shuffle."""
     found = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(text_column).cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<first: long, last: long>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),
+        F.lit(0).cast("long").alias("longest"),
     )
-    for block in list(test_blocks(benchmark, item_column, item_text, block_bytes)) or [[]]:
+    blocks = test_blocks(benchmark, item_column, item_text, block_bytes)
+    block = next(blocks, [])
+    while True:
         found = found.mapInArrow(_matcher(test_set(block, window), shard_bytes), found.schema)
-    return found.drop("text")
+        block = next(blocks, None)
+        if block is None:
+            return found.drop("text")
+        found = materialize(found, "matched")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``doc_id, n_words, spans, items`` per row."""
+    """``doc_id, n_words, spans, items, longest`` per row."""
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     rows = matched_rows(named, benchmark, **options)
-    return rows.select("row.doc_id", "n_words", "spans", "items")
+    return rows.select("row.doc_id", "n_words", "spans", "items", "longest")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -239,6 +266,7 @@ def report(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
+        F.col("longest").alias("longest_match"),
     )
 
 
