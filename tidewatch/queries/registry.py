@@ -67,24 +67,24 @@ SQL_USER_POSTS = """user_posts AS (
 
 
 def doc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One post per document, at the time of the event of the same number."""
+    """One post per document, at the time of the event of the same number, or that many seconds after the epoch where there is none."""
     docs = table(spark, sf_dir, "documents")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    return docs.join(ev, F.col("doc_id") == F.col("event_id")).select(
+    return docs.join(ev, F.col("doc_id") == F.col("event_id"), "left").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("post_id"),
         tx.title_prefix(F.col("text")).alias("title"),
         "text",
         "source",
-        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("platform"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.concat(F.lit("p"), (F.coalesce("user_id", "doc_id") % 4).cast("string")).alias("platform"),
+        F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_seconds("doc_id")).alias("timestamp"),
         "lang",
     )
 
 
 SQL_DOC_POSTS = """doc_posts AS (
   SELECT 'doc_' || doc_id AS post_id, substr(text, 1, 80) AS title, text, source,
-         'p' || (user_id % 4) AS platform, ts, lang
-  FROM documents JOIN events ON doc_id = event_id)"""
+         'p' || (coalesce(user_id, doc_id) % 4) AS platform, coalesce(ts, make_timestamp(doc_id * 1000000)) AS ts, lang
+  FROM documents LEFT JOIN events ON doc_id = event_id)"""
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
