@@ -11,6 +11,7 @@ A null text is empty and has no tokens. Every row gives a row; other columns are
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,6 +26,26 @@ REMEMBERED = 200_000
 SLICE_CHARS = 1 << 21
 NONE = np.iinfo(np.int64).max
 
+# The library's tables of characters are of other Unicode versions than Python's. Letters and numbers that the
+# library takes for signs (first and last of each range), and capitals whose small letters Python may not know.
+SIGN_LETTERS = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2
+18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+SIGN_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+SMALL_LETTERS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+SMALL_LETTERS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+# Below this character both know the same letters.
+NEWER = re.compile("[\u0558-\U0010ffff]")
+
+
+def _without(kind: str, ranges: str) -> str:
+    """A character class without the given ranges."""
+    left_out = "".join("-".join(f"\\U{int(end, 16):08x}" for end in r.split("-")) for r in ranges.split())
+    return rf"[\p{{{kind}}}--[{left_out}]]"
+
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -110,7 +131,10 @@ class TokenCounter:
         if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or not split["invert"]:
             raise ValueError(f"{path}: not a lower-casing BPE with word ends")
         self.merger = RankMerger(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.pattern = regex.compile(pattern)
+        pinned = pattern.replace(r"\p{L}", _without("L", SIGN_LETTERS)).replace(r"\p{N}", _without("N", SIGN_NUMBERS))
+        self.pinned = regex.compile(pinned, regex.VERSION1)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special)))
         self.known: dict[str, int] = {}
@@ -121,8 +145,11 @@ class TokenCounter:
         found = []
         for part in parts:
             # one character at a time, so a capital sigma becomes the same letter wherever it stands
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            found += self.pattern.findall(part)
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+            if part.isascii() or not NEWER.search(part):
+                found += self.pattern.findall(part.lower())
+            else:
+                found += self.pinned.findall(part.translate(SMALL_LETTERS).lower())
         return len(parts) - 1, found
 
     def _learn(self, pieces: set[str]) -> None:
