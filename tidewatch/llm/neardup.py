@@ -14,12 +14,14 @@ into its bin. In the last rounds every shingle goes to one given bin, so no coor
 * The rest meets in its buckets under the conditions that a link needs (sizes within both bounds, different components, and no
   more different shingles than a link allows by a lower bound from parity bits), once per pair, in the first band whose key it shares.
   Every pair that passes is checked on the full sets; no other pair is listed.
+* A bucket of many documents is dealt into blocks by hash, and every pair of blocks is a group of its own.
 * Hubs, peeling and conditions lose nothing. Two sets at the least similarity, 0.75, share no band with a probability of
   (1 - 0.75^4)^32 = 5e-6, more similar ones far less often.
 
 A null or empty text, and one without words, has an empty set, no links, and is its own component. Every row gives a
 row; a row without an id takes its class's component but never names one. Rows with equal ids and equal texts are
-copies; ids are expected to be unique among different texts. Other columns are ignored.
+copies: each gives a row, and all are one class with one set, so they cost what one costs. Ids are expected to be unique among
+different texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ HUB_ROUNDS, PEEL_ROUNDS = 2, 2
 PARITY_BITS = 1024
 # Rows of full sets that one comparison step holds.
 PAIR_ROWS = 256
+# Documents of a bucket that meet in one group of rows; a larger bucket is dealt into blocks of about this many, and blocks meet by pairs.
+BUCKET_ROWS = 512
 
 
 def shingle_sets(texts: pa.Array, words: Words) -> Iterator[np.ndarray]:
@@ -137,8 +141,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, members`` of each document of a batch, once."""
     words = Words(white_space())
     for batch in batches:
+        batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
         found = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
         cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int64), *found])
@@ -191,16 +197,37 @@ def _peeled(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return rest.drop("most").join(able, "doc")
 
 
-def _pairs(rest: DataFrame) -> DataFrame:
-    """``a, b``: the pairs of ``rest`` that meet all conditions a link needs, each in the first band it shares."""
-    left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "most", "bands", "parity", "pos")])
-    right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "comp", "most", "bands", "parity")])
+def _pairs(rest: DataFrame, bucket_rows: int | None = None) -> DataFrame:
+    """``a, b``: the pairs of ``rest`` that meet all conditions a link needs, each in the first band it shares.
+
+    A bucket's blocks meet by pairs (i, j), i <= j: a row stands on the left in the pairs its block begins and on the right in those it
+    ends. Two rows of different blocks meet once, in either order; two of one block by their ids.
+    """
+    full = F.ceil(F.col("rows") / F.lit(bucket_rows or BUCKET_ROWS)).cast("int")
+    large = rest.groupBy("bucket").agg(F.count("*").alias("rows")).select("bucket", full.alias("blocks")).filter("blocks > 1")
+    dealt = rest.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("blocks")).cast("int"))
+    begins = F.sequence(F.col("block"), F.col("blocks") - 1)
+    ends = F.sequence(F.lit(0), F.col("block"))
+    left = dealt.select("bucket", F.col("block").alias("i"), F.explode(begins).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "most", "bands", "parity", "pos")])
+    right = dealt.select("bucket", F.explode(ends).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "comp", "most", "bands", "parity")])
     size = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
     size &= (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("pos_a") + 1
     alike = least_difference(F.col("parity_a"), F.col("parity_b")) * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
-    apart = (F.col("doc_a") < F.col("doc_b")) & (F.col("comp_a") != F.col("comp_b"))
-    return left.join(right, (left["bucket"] == right["bucket"]) & apart & size & F.when(apart & size, alike & first)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    apart = ((left["i"] < left["j"]) | (F.col("doc_a") < F.col("doc_b"))) & (F.col("comp_a") != F.col("comp_b"))
+    here = (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    return left.join(right, here & apart & size & F.when(apart & size, alike & first)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+
+def _one_each(sets: DataFrame) -> DataFrame:
+    """One set per document; only documents of which several rows came are grouped."""
+    several = sets.groupBy("doc").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return sets
+    merged = sets.join(several, "doc", "left_semi").groupBy("doc").agg(F.first("members").alias("members"))
+    return materialize(sets.join(several, "doc", "left_anti").unionByName(merged), "sets")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,6 +256,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sets = materialize(
         named.join(candidates, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc long, members array<long>"), "sets"
     )
+    sets = _one_each(sets)
     links = None
     for turn in range(HUB_ROUNDS):
         found = materialize(_compare(_hub_pairs(open_, turn), sets), "links")
@@ -239,6 +267,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     for _ in range(PEEL_ROUNDS):
         open_ = materialize(_several(_peeled(open_, sets)), "peeled")
     keys = features.select(F.col("doc_id").alias("doc"), "bands", "parity").join(open_.select("doc").distinct(), "doc", "left_semi")
+    keys = keys.groupBy("doc").agg(F.first("bands").alias("bands"), F.first("parity").alias("parity"))
     links = links.unionByName(_compare(_pairs(materialize(open_.join(keys, "doc"), "rest")), sets))
     named_classes = classes.select("digest", "doc").join(_components(links), "doc", "left")
     named_classes = named_classes.select("digest", F.coalesce("component", "doc").alias("component_id"))
