@@ -87,6 +87,34 @@ def test_pairs_alone_find_every_planted_pair(spark, monkeypatch):
     assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2] == []
 
 
+@pytest.mark.parametrize("bucket_rows", [2, 512])
+def test_blocks_of_a_bucket_meet_as_the_bucket_does(spark, monkeypatch, bucket_rows):
+    """Without hubs, groups of near copies in buckets that are dealt into many blocks."""
+    hubs = neardup._hub_pairs
+    monkeypatch.setattr(neardup, "_hub_pairs", lambda open_, turn: hubs(open_.limit(0), turn))
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", bucket_rows)
+    rows = near_rows(9)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(rows)
+
+
+def test_repeated_rows_cost_one_comparison(spark, monkeypatch):
+    """Two near copies and one other text, each row thousands of times in many partitions: one pair of sets is compared."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:59], "x"])), (3, " ".join(reversed(base)))]
+    compare, seen = neardup._compare, []
+
+    def counted(pairs, sets):
+        seen.append((pairs.count(), sets.count()))
+        return compare(pairs, sets)
+
+    monkeypatch.setattr(neardup, "_compare", counted)
+    docs = spark.createDataFrame(rows * 3000, "doc_id long, text string").repartition(7)
+    got = neardup.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, True, 3000), (2, 1, False, 3000), (3, 3, True, 3000)}
+    assert all(pairs <= 1 and sets <= 3 for pairs, sets in seen)
+
+
 def words_of(text):
     import re
 

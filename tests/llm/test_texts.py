@@ -1,8 +1,10 @@
 """Operators on single texts against public libraries, round trips, brute force and labelled cases."""
 
 import hashlib
+import itertools
 import random
 import textwrap
+import time
 import zlib
 from math import log10
 
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import attention, chat, langid, licences, lm, maintext, pieces, quality, tokencount
+from tidewatch.llm import attention, blocks, chat, langid, licences, lm, maintext, pieces, quality, tokencount
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 POOL = list("abcdefgh ''st  \n\t0129.,!é漢😀ñßİΣ▁<|>")
@@ -38,6 +40,17 @@ def test_token_counts_equal_the_library(spark):
     assert tokencount.token_counts(frame(spark, [None]).limit(0), path).count() == 0
 
 
+def test_every_character_counts_as_in_the_library():
+    """All characters below U+20000 and the ranges of newer letters, next to letters, signs and digits."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), tokencount.TokenCounter(path)
+    points = [*range(0x20000), *range(0x2B730, 0x2B830), *range(0x2CE90, 0x2CEC0), *range(0x32300, 0x33500, 7), *range(0x3D000, 0x3FD00, 97)]
+    texts = [f"a{c}9{c}={c}{c}b" for c in map(chr, points) if not "\ud800" <= c <= "\udfff"]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, own.count(texts), expected, strict=True) if a != b] == []
+
+
 def test_forgetting_changes_no_count(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = odd_texts(50)
@@ -245,6 +258,37 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) and r["url"] == f"u{r['page_id']}" for r in got.values())
 
 
+def test_broken_and_deep_pages():
+    """Markup never becomes text, and a megabyte of nested or unclosed tags takes time in proportion."""
+    texts = lambda html: [b.text for b in blocks.blocks(html)]
+    assert texts("<p>a<div class='x") == ["a"]
+    assert texts('<p>1 < 2 <a href="x>t</a> &amp; u') == ["1 < 2 t & u"]
+    assert texts("<p title=\"a>b\" don't>c</p><!-- d --><!e><?f></ g>h") == ["c", "h"]
+    assert texts("<p>a<b>b<p>c</b>d<ul><li>e<li>f</ul>") == ["ab", "cd", "e", "f"]
+    assert texts("a<SCRIPT>b</p></script >c<style>d") == ["ac"]
+    n = 100_000
+    deep = ["<div>" * 2 * n, "<i><div>" + "<b>" * n + "</i>x<div>" * n, "<a b='" * n, "<p " * 3 * n, "".join(f"<x{i}>" for i in range(n)), "<!--" * n,
+            "<script " * n, "<" * 10 * n, "<a =" + "=" * 10 * n, "<p>x" * n, "<li><ul>" * n]
+    for page in deep:
+        start = time.process_time()
+        blocks.blocks(page)
+        assert time.process_time() - start < 5, page[:20]
+
+
+def test_paths_and_sums_equal_enumerated_paths():
+    """Viterbi paths of random chains against the best of all label sequences."""
+    rng = np.random.default_rng(5)
+    names = {f: k for k, f in enumerate("abcde")}
+    model = maintext.ChainModel(names, rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    pages = [[list(rng.choice([*"abcde", "unknown"], size=3, replace=False)) for _ in range(n)] for n in (1, 2, 3, 6, 9)]
+    for page, found in zip(pages, model.decode(pages), strict=True):
+        def value(path):
+            total = model.first[path[0]] + sum(model.pair[a, b] for a, b in itertools.pairwise(path))
+            return total + sum(model.state[names[f], y] for block, y in zip(page, path, strict=True) for f in block if f in names)
+
+        assert tuple(int(y) for y in found) == max(itertools.product((0, 1), repeat=len(page)), key=value)
+
+
 def test_labels_of_held_out_pages():
     model = maintext.train(maintext.labelled_pages(300))
     pages = maintext.labelled_pages(120, 77)
