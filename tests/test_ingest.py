@@ -191,6 +191,47 @@ def test_fingerprint_ignores_order(spark):
     assert fingerprint.same_corpus(a, a).collect()[0]["same"] and not fingerprint.same_corpus(a, b).collect()[0]["same"]
 
 
+def plain_tree(ids, depth):
+    """Digest tree by sorting: {(level, prefix): (ids, digest)}."""
+    import hashlib
+    from collections import Counter
+
+    def sha(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    level, out = {}, {}
+    for h, n in sorted(Counter(sha(i) for i in ids if i is not None).items()):
+        level.setdefault(h[:depth], []).append((n, f"{h}:{n}"))
+    level = {p: (sum(n for n, _ in x), sha("\n".join(line for _, line in x))) for p, x in level.items()}
+    for at in range(depth, -1, -1):
+        out |= {(at, p): x for p, x in level.items()}
+        up = {}
+        for p in sorted(level):
+            up.setdefault(p[: at - 1], []).append(level[p])
+        level = {p: (sum(n for n, _ in x), sha("".join(d for _, d in x))) for p, x in up.items()}
+    return out
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_digest_tree_equals_plain_version(spark, depth):
+    ids = [*(f"p{i % 300}" for i in range(500)), *["hot"] * 250, None, "", "é"]
+    df = spark.createDataFrame([(i,) for i in ids], "post_id string").repartition(5)
+    got = {(r["level"], r["prefix"]): (r["n_ids"], r["digest"]) for r in fingerprint.digest_tree(df, depth=depth).collect()}
+    assert got == plain_tree(ids, depth)
+
+
+def test_digest_tree_tells_where_tables_differ(spark):
+    import hashlib
+
+    a = spark.createDataFrame([(f"p{i}",) for i in range(400)], "post_id string")
+    b = spark.createDataFrame([(f"p{i}",) for i in range(399, 0, -1)] + [("p7",), ("new",)], "post_id string")
+    prefixes = {hashlib.sha256(x.encode()).hexdigest()[:3] for x in ("p0", "p7", "new")}
+    assert {r["prefix"] for r in fingerprint.differing_ranges(a, b, depth=3).collect()} == prefixes
+    assert fingerprint.differing_ranges(a, a.orderBy("post_id")).count() == 0
+    assert fingerprint.digest_tree(a.limit(0)).count() == 0
+    assert [fingerprint.tree_depth(n) for n in (0, 1000, 1001, 16000, 16001)] == [0, 0, 1, 1, 2]
+
+
 def test_timeline(spark):
     df = posts(
         spark,

@@ -1,12 +1,20 @@
-"""Order-independent fingerprints of a set of ids."""
+"""Order-independent fingerprints of a set of ids.
+
+``corpus_fingerprint`` is one number for "the same or not". ``digest_tree`` also tells where two sets differ: ids are dealt to ranges of
+their SHA-256, a range's sorted ids have one digest, and sixteen ranges in order have the digest of their digests, up to one root.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.runtime import materialize
+
 # The exact form joins all ids in one value; above this many ids it refuses.
 EXACT_MAX_IDS = 1_000_000
+# Rows a range of the digest tree holds at most, on average; the tree gets deeper, its ranges don't grow.
+RANGE_ROWS = 1_000
 
 
 def corpus_fingerprint(df: DataFrame, id_column: str = "post_id") -> DataFrame:
@@ -43,3 +51,47 @@ def same_corpus(a: DataFrame, b: DataFrame, id_column: str = "post_id") -> DataF
     return left.join(right, F.col("a") == F.col("b"), "full").select(
         F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same")
     ).limit(1)
+
+
+def tree_depth(n_rows: int) -> int:
+    """Levels below the root for a table of so many rows; equal tables have equal depths."""
+    depth = 0
+    while RANGE_ROWS * 16**depth < n_rows:
+        depth += 1
+    return depth
+
+
+def _ranges(df: DataFrame, depth: int, id_column: str) -> DataFrame:
+    """``prefix, n_ids, digest`` of the lowest ranges. Rows of one id are counted before ids are dealt, so a hot id is one entry."""
+    hashed = df.filter(F.col(id_column).isNotNull()).groupBy(F.sha2(F.col(id_column).cast("string"), 256).alias("h")).agg(F.count("*").alias("n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: F.concat(x["h"], F.lit(":"), x["n"].cast("string")))
+    return hashed.groupBy(F.substring("h", 1, depth).alias("prefix")).agg(
+        F.sum("n").alias("n_ids"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest")
+    )
+
+
+def digest_tree(df: DataFrame, id_column: str = "post_id", depth: int | None = None) -> DataFrame:
+    """``level, prefix, n_ids, digest`` of every range that holds an id, the root at level 0 with an empty prefix.
+
+    Rows are counted, so a repeated id is not the same as one row of it. A row without an id has no part; an empty table has no rows.
+    """
+    depth = tree_depth(df.count()) if depth is None else depth
+    level = materialize(_ranges(df, depth, id_column), "ranges")
+    nodes = level.select(F.lit(depth).alias("level"), "prefix", "n_ids", "digest")
+    for at in range(depth - 1, -1, -1):
+        digests = F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: x["digest"])
+        above = level.groupBy(F.substring("prefix", 1, at).alias("up")).agg(F.sum("n_ids").alias("n_ids"), F.sha2(F.array_join(digests, ""), 256).alias("digest"))
+        level = above.withColumnRenamed("up", "prefix")
+        nodes = nodes.unionByName(level.select(F.lit(at).alias("level"), "prefix", "n_ids", "digest"))
+    return nodes
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, id_column: str = "post_id", depth: int | None = None) -> DataFrame:
+    """``prefix, n_a, n_b``: the lowest ranges in which two tables differ; only their ids need to be looked at again."""
+    if depth is None:
+        depth = max(tree_depth(a.count()), tree_depth(b.count()))
+    left = _ranges(a, depth, id_column).select("prefix", F.col("n_ids").alias("n_a"), F.col("digest").alias("a"))
+    right = _ranges(b, depth, id_column).select("prefix", F.col("n_ids").alias("n_b"), F.col("digest").alias("b"))
+    zero = F.lit(0).cast("bigint")
+    both = left.join(right, "prefix", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select("prefix", F.coalesce("n_a", zero).alias("n_a"), F.coalesce("n_b", zero).alias("n_b"))

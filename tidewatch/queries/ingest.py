@@ -18,7 +18,7 @@ from tidewatch.queries.registry import (
     table,
 )
 from tidewatch.runtime import scratch_path, spread
-from tidewatch.sources import corpus, readers, submissions
+from tidewatch.sources import bundle, corpus, readers, submissions
 
 
 def _iso(df, *cols):
@@ -210,14 +210,102 @@ def exact_fingerprint(spark, sf):
     return fingerprint.exact_fingerprint(event_posts(spark, sf))
 
 
+DEEPEST = 6
+
+
+def ranges_sql(ids: str, src: str, depth: str, tag: str = "") -> str:
+    """CTE ``leaf``: the lowest ranges of a digest tree over the column ``ids`` of ``src``."""
+    return f"""hashed{tag} AS (SELECT sha256(CAST({ids} AS VARCHAR)) AS h, count(*) AS n FROM {src} WHERE {ids} IS NOT NULL GROUP BY ALL),
+  leaf{tag} AS (SELECT substr(h, 1, ({depth})) AS prefix, sum(n)::BIGINT AS n_ids,
+    sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS digest FROM hashed{tag} GROUP BY ALL)"""
+
+
+def depth_sql(src: str) -> str:
+    terms = " + ".join(f"(count(*) > {fingerprint.RANGE_ROWS * 16**k})::INT" for k in range(DEEPEST))
+    return f"SELECT {terms} FROM {src}"
+
+
+def tree_sql() -> str:
+    """CTEs ``node{DEEPEST}`` to ``node0``: each level is the lowest ranges, where they are of that level, or folded from the one below."""
+    parts = [f"node{DEEPEST} AS (SELECT prefix, n_ids, digest FROM leaf WHERE (SELECT d FROM depth) = {DEEPEST})"]
+    for k in range(DEEPEST - 1, -1, -1):
+        parts.append(
+            f"""node{k} AS (SELECT prefix, n_ids, digest FROM leaf WHERE (SELECT d FROM depth) = {k} UNION ALL
+            SELECT substr(prefix, 1, {k}), sum(n_ids)::BIGINT, sha256(string_agg(digest, '' ORDER BY prefix)) FROM node{k + 1} GROUP BY 1)"""
+        )
+    return ", ".join(parts)
+
+
+@query(
+    "fingerprint_tree",
+    f"""WITH {SQL_EVENT_POSTS}, depth AS ({depth_sql('event_posts').replace('FROM', 'AS d FROM', 1)}),
+    {ranges_sql('post_id', 'event_posts', 'SELECT d FROM depth')}, {tree_sql()}
+    {" UNION ALL ".join(f"SELECT {k} AS level, prefix, n_ids, digest FROM node{k}" for k in range(DEEPEST + 1))}""",
+)
+def fingerprint_tree(spark, sf):
+    return fingerprint.digest_tree(event_posts(spark, sf))
+
+
+@query(
+    "fingerprint_differences",
+    f"""WITH depth AS (SELECT greatest(({depth_sql('documents')}), ({depth_sql('labels')})) AS d),
+    {ranges_sql('doc_id', 'documents', 'SELECT d FROM depth', '_a')}, {ranges_sql('doc_id', 'labels', 'SELECT d FROM depth', '_b')}
+    SELECT prefix, coalesce(a.n_ids, 0) AS n_a, coalesce(b.n_ids, 0) AS n_b FROM leaf_a a FULL JOIN leaf_b b USING (prefix)
+    WHERE a.digest IS DISTINCT FROM b.digest""",
+)
+def fingerprint_differences(spark, sf):
+    """The ranges of ids in which judged and all documents differ."""
+    return fingerprint.differing_ranges(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
 @query(
     "bundle_freshness",
-    "SELECT (SELECT count(*) FROM events) = (SELECT count(*) FROM documents) AS same",
+    """SELECT 'events' AS corpus, count(*) = 0 AS fresh FROM (SELECT event_id FROM events EXCEPT ALL SELECT event_id FROM events) UNION ALL
+    SELECT 'documents', count(*) = 0 FROM ((SELECT event_id FROM events EXCEPT ALL SELECT doc_id FROM documents)
+      UNION ALL (SELECT doc_id FROM documents EXCEPT ALL SELECT event_id FROM events)) UNION ALL
+    SELECT 'shifted', count(*) = 0 FROM (SELECT event_id FROM events EXCEPT ALL SELECT event_id + 1 FROM events)""",
 )
 def bundle_freshness(spark, sf):
+    """A stored bundle of the events against the events, against the documents, and against as many other ids."""
     ev = table(spark, sf, "events").select(F.col("event_id").alias("post_id"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"))
-    return fingerprint.same_corpus(ev, docs)
+    corpora = {
+        "events": ev,
+        "documents": table(spark, sf, "documents").select(F.col("doc_id").alias("post_id")),
+        "shifted": ev.select((F.col("post_id") + 1).alias("post_id")),
+    }
+    marks = {name: fingerprint.corpus_fingerprint(df).first()["fingerprint"] for name, df in corpora.items()}
+    folder = scratch_path(spark, "bundle")
+    bundle.save_bundle(spark, folder, {"corpus_fingerprint": marks["events"]})
+    stored = bundle.load_bundle(spark, folder)
+    return spark.createDataFrame([(name, bundle.bundle_is_fresh(stored, mark)) for name, mark in marks.items()], "corpus string, fresh boolean")
+
+
+@query(
+    "bundle_round_trip",
+    f"""WITH {SQL_EVENT_POSTS} SELECT 'dynamic_assignments' AS piece, post_id, platform, {iso_sql('ts')} AS ts FROM event_posts UNION ALL
+    SELECT 'static_labels', post_id, source, NULL FROM event_posts""",
+)
+def bundle_round_trip(spark, sf):
+    """Two pieces written by two runs and read back; what the second run does not give stays."""
+    p = event_posts(spark, sf)
+    folder = scratch_path(spark, "bundle")
+    bundle.save_bundle(spark, folder, {"run": 1}, static_labels=p.select("post_id", "source"))
+    bundle.save_bundle(spark, folder, {"run": 2}, dynamic_assignments=p.select("post_id", "platform", "timestamp"))
+    back = bundle.load_bundle(spark, folder)
+    first = back["dynamic_assignments"].select(F.lit("dynamic_assignments").alias("piece"), "post_id", "platform", times.iso(F.col("timestamp")).alias("ts"))
+    second = back["static_labels"].select(F.lit("static_labels").alias("piece"), "post_id", F.col("source").alias("platform"), F.lit(None).cast("string").alias("ts"))
+    return first.unionByName(second)
+
+
+@query(
+    "evaluation_csvs",
+    f"""WITH {SQL_EVENT_POSTS} SELECT platform, source, count(*) AS n_posts, {iso_sql('min(ts)')} AS first_post FROM event_posts GROUP BY platform, source""",
+)
+def evaluation_csvs(spark, sf):
+    """An evaluation table as its CSV file says."""
+    per_platform = event_posts(spark, sf).groupBy("platform", "source").agg(F.count("*").alias("n_posts"), F.min("timestamp").alias("first_post"))
+    written = bundle.save_evaluation_csvs(scratch_path(spark, "evaluation"), eval_per_platform=per_platform, sweep_results=per_platform.limit(0))
+    return spark.read.schema("platform string, source string, n_posts bigint, first_post string").csv(written, header=True)
 
 
 @query(

@@ -208,3 +208,22 @@ def topic_labels(spark, sf):
 )
 def trend_board(spark, sf):
     return _summary(board.trend_board(posts(spark, sf), P))
+
+
+@query(
+    "board_own_labels",
+    f"""WITH {SQL_POSTS}, {SQL_USER_POSTS}, {history_sql('user_posts', P)}, {features_sql(P)}, {latest_sql()}, {MEMBERS},
+    titles AS (SELECT cluster_id, title FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, post_id DESC) AS rn
+      FROM posts SEMI JOIN latest USING (cluster_id)) WHERE rn <= 8),
+    named AS (SELECT cluster_id, min(title) AS label, count(title) || ' titles' AS description FROM titles GROUP BY cluster_id)
+    SELECT {SUMMARY_COLUMNS}, member_count, sample_titles, coalesce(label, '') AS label, coalesce(description, '') AS description
+    FROM latest JOIN members USING (cluster_id) LEFT JOIN named USING (cluster_id)""",
+)
+def board_own_labels(spark, sf):
+    """The trend board under another labeler: a cluster is called after its first title in alphabetical order."""
+
+    def labeler(titles):
+        count = F.concat(F.count("title").cast("string"), F.lit(" titles"))
+        return titles.groupBy("cluster_id").agg(F.min("title").alias("label"), count.alias("description"))
+
+    return _summary(board.trend_board(posts(spark, sf), P, labeler=labeler))

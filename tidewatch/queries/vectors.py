@@ -120,6 +120,26 @@ def embedded_corpus(spark, sf):
     return vectors.select("post_id", F.size("embedding").alias("dim"), norm.alias("norm"))
 
 
+def _length_model():
+    """A user's model: one of seven directions by the length of the text."""
+
+    def encode(texts):
+        return [[float(len(t or "") % 7 == k) for k in range(7)] for t in texts]
+
+    return encode
+
+
+@query(
+    "own_embedder",
+    f"WITH {SQL_DOC_POSTS} SELECT post_id, 7 AS dim, coalesce(length(text), 0) % 7 AS direction FROM doc_posts",
+)
+def own_embedder(spark, sf):
+    """The corpus under another model than the built-in one."""
+    vectors = embedding.embed_corpus(doc_posts(spark, sf), embedding.FunctionEmbedder("length", _length_model))
+    direction = (F.array_position("embedding", F.lit(1.0).cast("float")) - 1).alias("direction")
+    return vectors.select("post_id", F.size("embedding").alias("dim"), direction)
+
+
 @query(
     "cached_embeddings",
     f"WITH {SQL_DOC_POSTS} SELECT post_id, true AS kept FROM doc_posts",
