@@ -283,3 +283,16 @@ def test_unit_keeps_zero_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(scoring.unit(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
     assert BASE_US % 1_000_000 == 0 and isinstance(pd.Timestamp(T0), pd.Timestamp)
+
+
+def test_static_scores_with_silhouette(spark):
+    from tidewatch.plans import static
+
+    rows = [("a", 1, "x", [1.0, 0.0]), ("b", 1, "x", [0.8, 0.6]), ("c", 2, "y", [0.0, 1.0]), ("d", -1, "y", [0.6, 0.8])]
+    df = spark.createDataFrame(rows, "post_id string, cluster bigint, source string, embedding array<double>")
+    got = static.score_static(df, df, df).first()
+    # distances: a-b 0.2, a-c 1.0, b-c 0.4; c is alone and counts zero, d is noise
+    assert got["silhouette"] == pytest.approx(((1.0 - 0.2) / 1.0 + (0.4 - 0.2) / 0.4 + 0) / 3)
+    assert got["n_scored"] == 3 and got["n_posts"] == 4 and got["noise_ratio"] == 0.25 and got["homogeneity"] == pytest.approx(1.0)
+    one = static.score_static(df.filter("cluster = 1"), df, df).first()
+    assert one["silhouette"] is None and one["n_scored"] == 2

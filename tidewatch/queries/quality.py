@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import labels, quality
 from tidewatch.operators.stopwords import STOP_WORDS
-from tidewatch.plans import board
-from tidewatch.queries.registry import SQL_EVENT_POSTS, SQL_POSTS, SQL_USER_POSTS, event_posts, posts, query, rounded, table
+from tidewatch.plans import board, report, static
+from tidewatch.queries.registry import SQL_EVENT_POSTS, SQL_POSTS, SQL_USER_POSTS, event_posts, posts, query, rounded, table, user_posts
 from tidewatch.queries.trend import MEMBERS, P, SUMMARY_COLUMNS, _summary
 from tidewatch.queries.sqltrend import features_sql, history_sql, latest_sql
 
@@ -71,8 +71,6 @@ def cluster_quality(spark, sf):
     j AS (SELECT * FROM asg JOIN event_posts USING (post_id)), {scores_sql('j', 'source', 'cluster_id')} SELECT * FROM scored""",
 )
 def score_assignments(spark, sf):
-    from tidewatch.queries.registry import user_posts
-
     scored = quality.score_assignments(user_posts(spark, sf), event_posts(spark, sf))
     return rounded(scored, *SCORES)
 
@@ -227,3 +225,34 @@ def board_own_labels(spark, sf):
         return titles.groupBy("cluster_id").agg(F.min("title").alias("label"), count.alias("description"))
 
     return _summary(board.trend_board(posts(spark, sf), P, labeler=labeler))
+
+
+# Vectors clustered by the signs of their first three coordinates, those without a positive one as noise; labels are the true clusters.
+SQL_CELLS = """placed AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, CASE WHEN cell = 0 THEN -1 ELSE cell END AS cell FROM (SELECT *,
+    (embedding[1] > 0)::INT + 2 * (embedding[2] > 0)::INT + 4 * (embedding[3] > 0)::INT AS cell FROM embeddings))"""
+SQL_CELL_SILHOUETTE = """pair AS (SELECT a.vec_id, a.cell AS la, b.cell AS lb, 1 - list_dot_product(a.e, b.e)
+      / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS dist
+    FROM placed a JOIN placed b ON a.vec_id <> b.vec_id AND a.cell <> -1 AND b.cell <> -1),
+  near AS (SELECT vec_id, la, lb, avg(dist) AS dist FROM pair GROUP BY ALL),
+  ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN dist END) AS a, min(CASE WHEN la <> lb THEN dist END) AS b FROM near GROUP BY ALL),
+  sil AS (SELECT avg(coalesce((b - a) / greatest(a, b), 0)) AS silhouette, count(*)::DOUBLE AS n_scored FROM ab)"""
+
+
+@query(
+    "full_report",
+    f"""WITH {SQL_CELLS}, {SQL_CELL_SILHOUETTE},
+    j AS (SELECT 'static' AS section, label::VARCHAR AS t0, cell AS p0 FROM placed UNION ALL SELECT 'dynamic', event_type, user_id FROM events),
+    {scores_sql('j', 't0', 'p0', 'section, ')},
+    wide AS (SELECT section, ari, nmi, homogeneity, completeness, v_measure, n_clusters::DOUBLE AS n_clusters, n_posts::DOUBLE AS n_posts, noise_ratio FROM scored),
+    long AS (UNPIVOT wide ON ari, nmi, homogeneity, completeness, v_measure, n_clusters, n_posts, noise_ratio INTO NAME metric VALUE value)
+    SELECT section, metric, round(value, 6) AS value FROM long UNION ALL SELECT 'static', 'silhouette', round(silhouette, 6) FROM sil
+    UNION ALL SELECT 'static', 'n_scored', n_scored FROM sil""",
+)
+def full_report(spark, sf):
+    """A static clustering, with its silhouette, and a dynamic one in one report."""
+    signs = [F.when(F.col("embedding")[k] > 0, F.lit(2**k)).otherwise(F.lit(0)) for k in range(3)]
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("post_id"), "embedding", F.col("label").cast("string").alias("source"), (signs[0] + signs[1] + signs[2]).alias("cell"))
+    labels_ = v.select("post_id", F.when(F.col("cell") == 0, -1).otherwise(F.col("cell")).cast("bigint").alias("cluster"))
+    scored = static.score_static(labels_, v, v)
+    moving = quality.score_assignments(user_posts(spark, sf), event_posts(spark, sf))
+    return rounded(report.full_report(static=scored, dynamic=moving), "value")
