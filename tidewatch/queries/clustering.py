@@ -118,9 +118,12 @@ def _plane(spark, sf):
 
 
 PLANE_EPS, PLANE_MIN = 0.1, 5
-SQL_DBSCAN = f"""WITH RECURSIVE pt AS (SELECT doc_id AS i, ln(1 + value) AS x, ln(1 + n_chars) / 4 AS y FROM documents JOIN events ON doc_id = event_id),
-  nb AS (SELECT a.i, b.i AS j FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {PLANE_EPS} * {PLANE_EPS}),
-  co AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= {PLANE_MIN}),
+
+
+def _dbscan_sql(near, least):
+    """The plain definition over the neighbours ``nb`` (i, j) of the points ``pt``."""
+    return f"""WITH RECURSIVE {near},
+  co AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= {least}),
   e AS (SELECT nb.i, nb.j FROM nb JOIN co a ON a.i = nb.i JOIN co b ON b.i = nb.j),
   walk(i, j) AS (SELECT i, i FROM co UNION SELECT w.i, e.j FROM walk w JOIN e ON e.i = w.j),
   comp AS (SELECT i, min(j) AS c FROM walk GROUP BY i),
@@ -130,12 +133,55 @@ SQL_DBSCAN = f"""WITH RECURSIVE pt AS (SELECT doc_id AS i, ln(1 + value) AS x, l
     coalesce('doc_' || lpad(c::VARCHAR, 9, '0'), 'noise') AS label FROM pt LEFT JOIN lab ON lab.i = pt.i"""
 
 
-@query("dbscan", SQL_DBSCAN)
+SQL_PLANE = f"""pt AS (SELECT doc_id AS i, ln(1 + value) AS x, ln(1 + n_chars) / 4 AS y FROM documents JOIN events ON doc_id = event_id),
+  nb AS (SELECT a.i, b.i AS j FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {PLANE_EPS} * {PLANE_EPS})"""
+
+
+@query("dbscan", _dbscan_sql(SQL_PLANE, PLANE_MIN))
 def dbscan(spark, sf):
     found = density.density_clusters(density.as_points(_plane(spark, sf), 2, PLANE_EPS), 2, PLANE_MIN)
     return found.select(F.col("pid").alias("post_id"), "core", F.coalesce("label", F.lit("noise")).alias("label"))
 
 
+def _digits(spark, sf, d):
+    """Documents as points of ``d`` axes: near a place that the source decides, by hashes; every tenth one far out, every tenth half-way."""
+    spelled = lambda *c: F.md5(F.concat(*c))
+    digit = lambda text, i: F.instr(F.lit("0123456789abcdef"), F.substring(text, i + 1, 1)) / F.lit(15.0)
+    docs = table(spark, sf, "documents").withColumn("wide", F.when(F.col("doc_id") % 10 == 0, 0.9).when(F.col("doc_id") % 10 == 1, 0.17).otherwise(0.12))
+    docs = docs.withColumns({"home": spelled(F.lit("s"), "source"), "off": spelled(F.lit("d"), F.col("doc_id").cast("string"))})
+    return docs.select(
+        F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("post_id"),
+        F.array(*[digit(F.col("home"), i) + digit(F.col("off"), i) * F.col("wide") for i in range(d)]).alias("reduced"),
+    )
+
+
+DIGITS_EPS, DIGITS_MIN = {5: 0.11037, 16: 0.27183}, 8
+
+
+def _digits_sql(d):
+    at = lambda text, i: f"instr('0123456789abcdef', substr({text}, {i + 1}, 1)) / 15.0::DOUBLE"
+    axes = ", ".join(f"{at('home', i)} + {at('off', i)} * wide AS x{i}" for i in range(d))
+    apart = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(d))
+    return f"""pt AS (SELECT doc_id AS i, {axes} FROM (SELECT doc_id, md5('s' || source) AS home, md5('d' || doc_id) AS off,
+      CASE doc_id % 10 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.17::DOUBLE ELSE 0.12::DOUBLE END AS wide FROM documents)),
+  nb AS (SELECT a.i, b.i AS j FROM pt a JOIN pt b ON {apart} <= {DIGITS_EPS[d]!r}::DOUBLE * {DIGITS_EPS[d]!r}::DOUBLE)"""
+
+
+def _dbscan_digits(spark, sf, d):
+    found = density.density_clusters(density.as_points(_digits(spark, sf, d), d, DIGITS_EPS[d]), d, DIGITS_MIN)
+    return found.select(F.col("pid").alias("post_id"), "core", F.coalesce("label", F.lit("noise")).alias("label"))
+
+
+@query("dbscan_five", _dbscan_sql(_digits_sql(5), DIGITS_MIN))
+def dbscan_five(spark, sf):
+    return _dbscan_digits(spark, sf, 5)
+
+
+@query("dbscan_sixteen", _dbscan_sql(_digits_sql(16), DIGITS_MIN))
+def dbscan_sixteen(spark, sf):
+    return _dbscan_digits(spark, sf, 16)
+
+
 @query("density_levels")
 def density_levels(spark, sf):
     plane = _plane(spark, sf)
