@@ -1,21 +1,23 @@
-"""Injected bursts and how well flags find them."""
+"""Bursts in the tables and how well flags find them."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring, times
 from tidewatch.functions import text as tx
 from tidewatch.operators import bursts, injection, sliding, trend, weights
 from tidewatch.plans import report
-from tidewatch.queries.registry import SQL_POSTS, SQL_USER_POSTS, iso_sql, posts, query, rounded, user_posts
+from tidewatch.queries.registry import SQL_POSTS, SQL_USER_POSTS, iso_sql, posts, query, rounded, table
 from tidewatch.queries.sqltrend import features_sql, history_sql, transitions_sql
-from tidewatch.runtime import materialize
+from tidewatch.runtime import broadcast_if_small, materialize
 from tidewatch.schema import TrendParams
 
 P = TrendParams()
-N_BURSTS, PER_BURST, SPAN_H, SEED = 6, 80, 6.0, 42
+SEED, SPAN_H = 42, 6
 HOUR = 3_600_000_000
+SPAN = SPAN_H * HOUR
 
 
 def uniform_sql(*parts: str) -> str:
@@ -23,28 +25,36 @@ def uniform_sql(*parts: str) -> str:
     return f"(CAST('0x' || substr(md5({joined}), 1, 13) AS BIGINT) / {float(1 << 52)}::DOUBLE)"
 
 
-SQL_TRUTH = f"""topics AS (SELECT topic_label, row_number() OVER (ORDER BY {uniform_sql("'42'", "topic_label")}) - 1 AS burst_id
-    FROM (VALUES {", ".join("('" + t + "')" for t in injection.BURST_TOPICS)}) AS v(topic_label)),
-  span AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events),
-  truth0 AS (SELECT CAST(burst_id AS INTEGER) AS burst_id, topic_label,
-    lo + CAST(round((0.1::DOUBLE + burst_id * {(0.9 - 0.1) / 5!r}::DOUBLE) * (hi - lo)::DOUBLE) AS BIGINT) AS us FROM topics, span),
-  truth AS (SELECT burst_id, topic_label, make_timestamp(us) AS burst_start, us AS start_us,
-    make_timestamp(us + {int(round(SPAN_H * 1.5 / 5.5 * HOUR))}) AS peak, make_timestamp(us + {int(SPAN_H * HOUR)}) AS burst_end,
-    CAST({PER_BURST} AS BIGINT) AS n_posts FROM truth0)"""
-
-_Q = injection.offset_quantiles()
-_S = injection.QUANTILE_STEPS
-SQL_INJECTED = f"""draws AS (SELECT burst_id, topic_label, start_us, d, {uniform_sql("'42'", "burst_id", "d", "'time'")} AS u
-    FROM (SELECT *, unnest(generate_series(0, {PER_BURST - 1})) AS d FROM truth)),
-  q AS (SELECT [{", ".join(repr(v) for v in _Q)}]::DOUBLE[] AS t),
-  offs AS (SELECT *, CAST(round((t[k + 1] + (t[k + 2] - t[k + 1]) * (u * {_S} - k)) * {SPAN_H * HOUR}::DOUBLE) AS BIGINT) AS off
-    FROM (SELECT draws.*, t, CAST(least(floor(u * {_S}), {_S - 1}) AS INTEGER) AS k FROM draws, q)),
-  injected AS (SELECT 'injected_' || burst_id || '_' || (row_number() OVER (PARTITION BY burst_id ORDER BY off, d) - 1) AS post_id,
-    topic_label AS source, burst_id, make_timestamp(start_us + off) AS ts FROM offs)"""
+# A burst is the busiest six hours of an event type; its posts are the events of that type and time.
+SQL_TRUTH = f"""slots AS (SELECT event_type, epoch_us(ts) // {SPAN} AS slot, count(*) AS n, CAST(sum(epoch_us(ts) % {SPAN}) AS BIGINT) AS late
+    FROM events GROUP BY ALL),
+  busiest AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, slot) AS rn FROM slots),
+  truth AS (SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS burst_id, event_type AS topic_label, make_timestamp(slot * {SPAN}) AS burst_start,
+    make_timestamp(slot * {SPAN} + late // n) AS peak, make_timestamp(slot * {SPAN} + {SPAN}) AS burst_end, n AS n_posts FROM busiest WHERE rn = 1)"""
+SQL_INJECTED = """injected AS (SELECT 'injected_' || burst_id || '_' || event_id AS post_id, event_type AS source, burst_id, ts, event_id
+    FROM events JOIN truth ON event_type = topic_label AND ts >= burst_start AND ts < burst_end)"""
 
 
 def _truth(spark, sf):
-    return injection.burst_truth(user_posts(spark, sf), N_BURSTS, PER_BURST, SPAN_H, SEED)
+    """A row per event type, on the driver only while there are few."""
+    ev = table(spark, sf, "events")
+    us = times.micros(F.col("ts").cast("timestamp"))
+    slots = ev.groupBy("event_type", times.floor_div(us, SPAN).alias("slot")).agg(F.count("*").alias("n"), F.sum(F.pmod(us, F.lit(SPAN))).alias("late"))
+    busiest = slots.groupBy("event_type").agg(F.min(F.struct((-F.col("n")).alias("less"), "slot", "n", "late")).alias("b")).select("event_type", "b.*")
+    start = F.col("slot") * SPAN
+    truth = busiest.select(
+        (F.row_number().over(Window.orderBy("event_type")) - 1).alias("burst_id"),
+        F.col("event_type").alias("topic_label"),
+        F.timestamp_micros(start).alias("burst_start"),
+        F.timestamp_micros(start + times.floor_div(F.col("late"), F.col("n"))).alias("peak"),
+        F.timestamp_micros(start + SPAN).alias("burst_end"),
+        F.col("n").alias("n_posts"),
+    )
+    return broadcast_if_small(truth)
+
+
+def _in_burst(truth):
+    return (F.col("source") == truth["topic_label"]) & (F.col("timestamp") >= truth["burst_start"]) & (F.col("timestamp") < truth["burst_end"])
 
 
 @query(
@@ -59,7 +69,7 @@ def burst_truth(spark, sf):
 
 @query("burst_posts", f"WITH {SQL_TRUTH}, {SQL_INJECTED} SELECT post_id, source, {iso_sql('ts')} AS ts FROM injected")
 def burst_posts(spark, sf):
-    made = injection.burst_posts(_truth(spark, sf), SPAN_H, SEED)
+    made = _placed(spark, sf, _truth(spark, sf)).filter("burst_id is not null")
     return made.select("post_id", "source", times.iso(F.col("timestamp")).alias("ts"))
 
 
@@ -68,57 +78,59 @@ def _case_sql(pools: dict[str, list[str]], word: str) -> str:
     return f"CASE lower(trim({word}, '.,!?')) {arms} END"
 
 
-_TEMPLATE_ROWS = ", ".join(
-    "('" + t + "', [" + ", ".join("'" + s + "'" for s in sentences) + "])" for t, sentences in injection.BURST_TOPICS.items()
-)
-
-
 @query(
     "paraphrased_titles",
-    f"""WITH {SQL_TRUTH}, {SQL_INJECTED}, tpl AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS v(source, templates)),
-    s AS (SELECT post_id, templates[CAST(floor({uniform_sql("'42'", "post_id", "'template'")} * len(templates)) AS INTEGER) + 1] AS sentence
-      FROM injected JOIN tpl USING (source)),
-    w AS (SELECT post_id, words[i + 1] AS word, i, {_case_sql(injection.SYNONYMS, "words[i + 1]")} AS pool FROM (
-      SELECT post_id, words, unnest(generate_series(0, len(words) - 1)) AS i FROM (SELECT post_id, string_split(sentence, ' ') AS words FROM s))),
+    f"""WITH w AS (SELECT post_id, words[i + 1] AS word, i, {_case_sql(injection.SYNONYMS, "words[i + 1]")} AS pool FROM (
+      SELECT post_id, words, unnest(generate_series(0, len(words) - 1)) AS i FROM (
+        SELECT 'doc_' || doc_id AS post_id, string_split(text, ' ') AS words FROM documents))),
     c AS (SELECT post_id, i, word, pool, {uniform_sql("'42'", "post_id", "i", "'swap'")} AS u,
       pool[CAST(floor({uniform_sql("'42'", "post_id", "i", "'pick'")} * len(pool)) AS INTEGER) + 1] AS chosen FROM w)
-    SELECT post_id, string_agg(CASE WHEN pool IS NULL OR u >= 0.5 THEN word
-      WHEN word[1] = upper(word[1]) AND word[1] <> lower(word[1]) THEN upper(chosen[1]) || lower(chosen[2:]) ELSE chosen END, ' ' ORDER BY i) AS title
+    SELECT post_id, md5(string_agg(CASE WHEN pool IS NULL OR u >= 0.5 THEN word
+      WHEN word[1] = upper(word[1]) AND word[1] <> lower(word[1]) THEN upper(chosen[1]) || lower(chosen[2:]) ELSE chosen END, ' ' ORDER BY i)) AS text_md5
     FROM c GROUP BY post_id""",
 )
 def paraphrased_titles(spark, sf):
-    return injection.burst_posts(_truth(spark, sf), SPAN_H, SEED).select("post_id", "title")
+    """Whole texts of the documents with words swapped for their synonyms."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("post_id"), "text")
+    return docs.select("post_id", F.md5(injection.paraphrase(F.col("text"), F.col("post_id"), SEED)).alias("text_md5"))
 
 
 @query(
     "injected_corpus",
-    f"""WITH {SQL_POSTS}, {SQL_TRUTH}, {SQL_INJECTED}, a AS (SELECT post_id, source, platform, ts FROM posts
-      UNION ALL SELECT post_id, source, 'injected' AS platform, ts FROM injected)
+    f"""WITH {SQL_POSTS}, {SQL_TRUTH}, a AS (SELECT source, CASE WHEN burst_id IS NULL THEN platform ELSE 'injected' END AS platform, ts
+      FROM posts LEFT JOIN truth ON source = topic_label AND ts >= burst_start AND ts < burst_end)
     SELECT platform, source, count(*) AS n_posts, {iso_sql('min(ts)')} AS first_ts, {iso_sql('max(ts)')} AS last_ts FROM a GROUP BY ALL""",
 )
 def injected_corpus(spark, sf):
-    corpus, _ = injection.inject_bursts(posts(spark, sf), N_BURSTS, PER_BURST, SPAN_H, SEED)
+    truth = _truth(spark, sf)
+    corpus = posts(spark, sf)
+    corpus = corpus.join(truth, _in_burst(truth), "left").withColumn("platform", F.when(F.col("burst_id").isNull(), F.col("platform")).otherwise(F.lit("injected")))
     grouped = corpus.groupBy("platform", "source").agg(
         F.count("*").alias("n_posts"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")
     )
     return grouped.withColumns({c: times.iso(F.col(c)) for c in ("first_ts", "last_ts")})
 
 
-# Assignments without vectors: events by user, burst posts in a cluster of their own but for a
+# Assignments without vectors: events by user, those of a burst in a cluster of its own but for a
 # fifth of them that stray into user clusters, and two bursts that share one cluster.
-SQL_ASSIGNED = f"""assigned AS (SELECT * FROM user_posts UNION ALL SELECT post_id,
-    CASE WHEN {uniform_sql("'stray'", "post_id")} < 0.2 THEN 3 ELSE 1000000 + least(burst_id, 4) END AS cluster_id, ts FROM injected)"""
+SQL_ASSIGNED = f"""assigned AS (SELECT * FROM user_posts WHERE post_id NOT IN (SELECT 'ev_' || event_id FROM injected) UNION ALL SELECT post_id,
+    CASE WHEN {uniform_sql("'stray'", "post_id")} < 0.2 THEN 3 ELSE 1000000 + least(burst_id, 3) END AS cluster_id, ts FROM injected)"""
 
 
-def _assigned(spark, sf):
-    return user_posts(spark, sf).unionByName(_injected(_truth(spark, sf)))
+def _placed(spark, sf, truth):
+    """Every event as a post, those of a burst under its name, in one pass."""
+    ev = table(spark, sf, "events")
+    named = ev.select("event_id", "user_id", F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("timestamp"))
+    number = F.col("event_id").cast("string")
+    post_id = F.when(F.col("burst_id").isNull(), F.concat(F.lit("ev_"), number)).otherwise(F.concat(F.lit("injected_"), F.col("burst_id").cast("string"), F.lit("_"), number))
+    placed = named.join(truth.select("burst_id", "topic_label", "burst_start", "burst_end"), _in_burst(truth), "left").withColumn("post_id", post_id)
+    stray = tx.hash_uniform(F.lit("stray"), F.col("post_id")) < 0.2
+    cluster = F.when(F.col("burst_id").isNull(), F.col("user_id")).when(stray, F.lit(3)).otherwise(F.lit(1_000_000) + F.least("burst_id", F.lit(3)))
+    return placed.select("post_id", cluster.cast("bigint").alias("cluster_id"), "timestamp", "source", "burst_id")
 
 
-def _injected(truth):
-    injected = injection.burst_posts(truth, SPAN_H, SEED)
-    stray = tx.hash_uniform(F.lit("stray"), F.col("post_id")) < 0.2
-    cluster = F.when(stray, F.lit(3)).otherwise(F.lit(1_000_000) + F.least(tx.burst_of(F.col("post_id")), F.lit(4)))
-    return injected.select("post_id", cluster.cast("bigint").alias("cluster_id"), "timestamp")
+def _assigned(spark, sf):
+    return _placed(spark, sf, _truth(spark, sf)).select("post_id", "cluster_id", "timestamp")
 
 
 @query(
@@ -243,9 +255,10 @@ SQL_LOG = """, sz AS (SELECT refresh_no, t, cluster_id AS tracked_id, count(*) A
 
 def _paned(spark, sf):
     """The bursts and their posts, the refreshes, and all posts counted by pane; the events themselves are only read."""
-    truth = materialize(_truth(spark, sf), "truth")
-    injected = materialize(_injected(truth), "injected")
-    assigned = user_posts(spark, sf).unionByName(injected).withColumnRenamed("cluster_id", "tracked_id")
+    truth = _truth(spark, sf)
+    placed = _placed(spark, sf, truth)
+    injected = materialize(placed.filter("burst_id is not null").select("post_id", "cluster_id", "timestamp"), "injected")
+    assigned = placed.select("post_id", F.col("cluster_id").alias("tracked_id"), "timestamp")
     grid = sliding.RefreshGrid.of(assigned, 24.0, 6.0)
     counted = materialize(sliding.panes(assigned, grid, ["tracked_id"]), "panes")
     return truth, injected.withColumnRenamed("cluster_id", "tracked_id"), grid, counted
