@@ -191,6 +191,19 @@ def test_fingerprint_ignores_order(spark):
     assert fingerprint.same_corpus(a, a).collect()[0]["same"] and not fingerprint.same_corpus(a, b).collect()[0]["same"]
 
 
+def test_exact_fingerprint_of_many_ids(spark):
+    import hashlib
+
+    ids = [f"ev_{i}" for i in range(1_000_001)]
+    got = fingerprint.exact_fingerprint(spark.range(len(ids)).select(F.concat(F.lit("ev_"), F.col("id").cast("string")).alias("post_id")).repartition(7)).collect()
+    assert [tuple(r) for r in got] == [(len(ids), hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()[:16])]
+    odd = spark.createDataFrame([("b",), (None,), ("",), ("b",), ("ä",)], "post_id string")
+    assert tuple(fingerprint.exact_fingerprint(odd).first()) == (5, hashlib.sha256("\nb\nb\nä".encode()).hexdigest()[:16])
+    none = hashlib.sha256(b"").hexdigest()[:16]
+    assert tuple(fingerprint.exact_fingerprint(odd.filter("post_id is null")).first()) == (1, none)
+    assert tuple(fingerprint.exact_fingerprint(odd.limit(0)).first()) == (0, none)
+
+
 def plain_tree(ids, depth):
     """Digest tree by sorting: {(level, prefix): (ids, digest)}."""
     import hashlib

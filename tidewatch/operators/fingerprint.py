@@ -6,13 +6,17 @@ their SHA-256, a range's sorted ids have one digest, and sixteen ranges in order
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.runtime import materialize
 
-# The exact form joins all ids in one value; above this many ids it refuses.
-EXACT_MAX_IDS = 1_000_000
+# Ids the exact form joins to one line of its text.
+PIECE_IDS = 256
 # Rows a range of the digest tree holds at most, on average; the tree gets deeper, its ranges don't grow.
 RANGE_ROWS = 1_000
 
@@ -34,14 +38,44 @@ def corpus_fingerprint(df: DataFrame, id_column: str = "post_id") -> DataFrame:
     return parts.select("n_ids", F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, part`` in order to ``part, at, n_ids, piece``: the ids of a stretch joined by line ends, null where it holds none."""
+    at = 0
+    for batch in batches:
+        for first in range(0, batch.num_rows, PIECE_IDS):
+            rows = batch.slice(first, PIECE_IDS)
+            ids = rows.column(0).drop_null().to_pylist()
+            columns = [rows.column(1).slice(0, 1), pa.array([at]), pa.array([rows.num_rows]), pa.array(["\n".join(ids) if ids else None], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "at", "n_ids", "piece"])
+            at += 1
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pieces in order to one row ``n_ids, fingerprint``; one batch of them is held at a time."""
+    n, digest, begun = 0, hashlib.sha256(), False
+    for batch in batches:
+        for n_ids, piece in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            n += n_ids
+            if piece is not None:
+                if begun:
+                    digest.update(b"\n")
+                digest.update(piece.encode())
+                begun = True
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([digest.hexdigest()[:16]])], names=["n_ids", "fingerprint"])
+
+
 def exact_fingerprint(df: DataFrame, id_column: str = "post_id") -> DataFrame:
-    """First 16 hex digits of the SHA-256 of all sorted ids, one per line; for bounded tables only."""
-    ids = df.select(F.col(id_column).cast("string").alias("id"))
-    n = ids.count()
-    if n > EXACT_MAX_IDS:
-        raise ValueError(f"{n} ids are too many for the exact fingerprint; use corpus_fingerprint")
-    text = F.array_join(F.array_sort(F.collect_list("id")), "\n")
-    return ids.agg(F.count("*").alias("n_ids"), F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
+    """First 16 hex digits of the SHA-256 of all sorted ids, one per line, at any number of ids.
+
+    Sorting and joining are spread over the tasks. The digest itself takes the pieces one after the other, as every block of a SHA-256
+    needs the block before it; ``digest_tree`` is the form without such a chain.
+    """
+    ids = df.select(F.col(id_column).cast("string").alias("id")).orderBy("id")
+    pieces = ids.withColumn("part", F.spark_partition_id()).mapInArrow(_pieces, "part int, at bigint, n_ids bigint, piece string")
+    # so that the only task has a row even if there are no ids
+    start = df.sparkSession.range(1).select(F.lit(-1).alias("part"), "id", F.lit(0).cast("bigint").alias("n_ids"), F.lit(None).cast("string").alias("piece"))
+    chain = pieces.union(start).repartition(1).sortWithinPartitions("part", "at")
+    return chain.mapInArrow(_digest, "n_ids bigint, fingerprint string")
 
 
 def same_corpus(a: DataFrame, b: DataFrame, id_column: str = "post_id") -> DataFrame:
