@@ -215,6 +215,44 @@ def test_labels(spark):
     assert got[3]["description"] == "No sample titles available."
 
 
+def test_terms_equal_the_plain_definition(spark, monkeypatch):
+    from collections import Counter, defaultdict
+
+    rng = np.random.default_rng(4)
+    named = [f"w{i}" for i in range(30)]
+    rows = [(int(c), f"p{i}", " ".join(named[int(k)] for k in rng.integers(0, 6 if c == 1 else 30, int(rng.integers(0, 12))))) for i, c in enumerate(rng.integers(1, 4, 120))]
+    rows += [(1, "p0", "w1 w1 w1"), (None, "q", "w1 w2"), (3, None, "w1 w2 w2"), (3, None, "w2 w2")]
+
+    def plain(cap):
+        docs, sizes = defaultdict(Counter), Counter()
+        for c, doc, text in rows:
+            words = text.split()
+            if c is not None and words:
+                sizes[c] += 1
+                docs[c, doc].update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+        total, df = defaultdict(Counter), defaultdict(Counter)
+        for (c, _), tf in docs.items():
+            total[c].update(tf)
+            df[c].update(tf.keys())
+        out = defaultdict(float)
+        for (c, _), tf in docs.items():
+            kept = sorted(total[c], key=lambda t: (-total[c][t], t))[:cap]
+            w = {t: tf[t] * (math.log((1 + sizes[c]) / (1 + df[c][t])) + 1) for t in kept if t in tf}
+            for t in w:
+                out[c, t] += w[t] / math.sqrt(sum(x * x for x in w.values()))
+        return out
+
+    counted = []
+    real = labels._candidates
+    monkeypatch.setattr(labels, "_candidates", lambda *a: counted.append(real(*a)) or counted[-1])
+    df = spark.createDataFrame(rows, "cluster_id bigint, post_id string, title string")
+    for cap in (3, 20, 50):
+        got = {(r["cluster_id"], r["term"]): r["score"] for r in labels.term_scores(df, max_terms=cap).collect()}
+        assert got == pytest.approx(dict(plain(cap)))
+    # pairs of rare words are not counted
+    assert counted[0].filter("cluster_id = 2").select("term").distinct().count() <= 5 + 5 * 5
+
+
 def test_recent_titles_are_the_last_ones(spark):
     df = spark.createDataFrame([(1, f"p{i}", f"t{i}", hours(i)) for i in range(7)] + [(2, "q", "only", hours(0))], "cluster_id bigint, post_id string, title string, timestamp timestamp")
     got = {r["cluster_id"]: r for r in labels.member_summary(df).collect()}

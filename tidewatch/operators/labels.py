@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as tx
 from tidewatch.operators.stopwords import STOP_WORDS
+from tidewatch.runtime import broadcast_if_small, materialize
 
 # Token pattern, vocabulary size and number of label terms, fallback texts.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -18,15 +19,28 @@ UNLABELED = "Unlabeled topic"
 NO_TITLES = "No sample titles available."
 
 
-def terms_of(title: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Lower-case words of two or more characters without stop words, then their pairs."""
-    words = F.filter(F.regexp_extract_all(F.lower(title), F.lit(TOKEN_PATTERN), F.lit(0)), lambda w: ~w.isin(stop_words))
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.concat(words, pairs)
+def words_of(title: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+    """Lower-case words of two or more characters without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(title), F.lit(TOKEN_PATTERN), F.lit(0)), lambda w: ~w.isin(stop_words))
+
+
+def _candidates(docs: DataFrame, cluster: str, doc: str, title: str, stop_words: list[str], max_terms: int) -> DataFrame:
+    """``cluster, doc, term, tf`` of all terms that may be among the ``max_terms`` most frequent words and pairs of their cluster.
+
+    A pair is no more frequent than either of its words. So where ``max_terms`` words are more frequent than a word, neither it
+    nor a pair with it is among the most frequent terms, and the pairs of all other words need not be counted.
+    """
+    read = docs.select(cluster, doc, words_of(F.col(title), stop_words).alias("words"))
+    totals = read.select(cluster, F.explode("words").alias("word")).groupBy(cluster, "word").agg(F.count("*").alias("total"))
+    ranked = totals.withColumn("rk", F.rank().over(W.partitionBy(cluster).orderBy(F.desc("total"))))
+    frequent = broadcast_if_small(ranked.filter((F.col("rk") <= max_terms) & F.col(cluster).isNotNull()).select(cluster, "word"))
+    next_ones = F.slice("words", 2, F.greatest(F.size("words"), F.lit(1)))
+    neighbours = F.zip_with("words", next_ones, lambda a, b: F.struct(a.alias("word"), b.alias("next")))
+    pairs = read.select(cluster, doc, F.inline(neighbours)).join(frequent, [cluster, "word"])
+    follows = frequent.select(cluster, F.col("word").alias("next"), F.lit(True).alias("paired"))
+    terms = F.array("word", F.when(F.col("paired"), F.concat_ws(" ", "word", "next")))
+    counted = pairs.join(follows, [cluster, "next"], "left").select(cluster, doc, F.explode(terms).alias("term"))
+    return counted.filter("term is not null").groupBy(cluster, doc, "term").agg(F.count("*").alias("tf"))
 
 
 def term_scores(
@@ -39,22 +53,19 @@ def term_scores(
 ) -> DataFrame:
     """Summed TF-IDF weight of each cluster's most frequent terms: ``cluster, term, score``.
 
-    The vocabulary is the ``max_terms`` most frequent terms of a cluster; document rows are scaled to length one.
+    The terms are words and pairs of neighbouring words. The vocabulary is the ``max_terms`` most frequent terms of a cluster;
+    document rows are scaled to length one.
     """
     docs = titles.filter(~tx.is_blank(F.col(title))).select(cluster, doc, title)
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("n_docs"))
-    counts = (
-        docs.select(cluster, doc, F.explode(terms_of(F.col(title), stop_words)).alias("term"))
-        .groupBy(cluster, doc, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = materialize(_candidates(docs, cluster, doc, title, stop_words, max_terms), "counts")
     totals = counts.groupBy(cluster, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     ranked = totals.withColumn(
         "rn", F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("total"), F.asc("term")))
     )
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
     vocabulary = ranked.filter(F.col("rn") <= max_terms).join(sizes, cluster).select(cluster, "term", idf.alias("idf"))
-    weights = counts.join(vocabulary, [cluster, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    weights = counts.join(broadcast_if_small(vocabulary), [cluster, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(cluster, doc)))
     return weights.withColumn("w", F.col("w") / norm).groupBy(cluster, "term").agg(F.sum("w").alias("score"))
 
