@@ -76,6 +76,25 @@ def test_best_match_both_ways(spark, limit):
     assert got["similarity"].to_numpy() == pytest.approx(sims.max(1)) and got["own_similarity"].to_numpy() == pytest.approx(own)
 
 
+def test_scores_are_held_some_rows_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    q, t = rng.normal(size=(4_000, 8)), rng.normal(size=(4_000, 8))
+    ids = np.arange(4_000)
+    sims = q @ t.T
+    own = sims[ids, ids].copy()
+    sims[ids, ids] = -np.inf
+    tracemalloc.start()
+    got = similarity._score(q, ids, t, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[0] == sims.argmax(axis=1)).all()
+    assert np.allclose(got[1], sims.max(axis=1)) and np.allclose(got[2], own)
+    assert peak < 40_000_000  # all products together are 128 MB
+    assert np.isnan(similarity._score(q, None, t, ids)[2]).all()
+
+
 def test_best_match_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "QUERY_BLOCK", 7)
     monkeypatch.setattr(similarity, "TARGET_BLOCK", 4)
