@@ -74,3 +74,54 @@ def test_roots_of_a_forest(spark):
     got = {r["node"]: r["root"] for r in tree_roots(spark.createDataFrame(parents, "src bigint, dst bigint")).collect()}
     assert got == {a: 0 if a < 50 or a == 200 else 100 if a < 150 else 300 for a, _ in parents}
     assert tree_roots(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_whole_rows_come_back_in_as_few_bytes_as_they_need():
+    x = np.array([[1.0, -32767.0, 0.0], [3.0, 32768.0, -1.0], [2.0**40, -1.0, 5.0], [0.0, 0.0, 0.0]])
+    column = pivots.packed_whole(x)
+    assert [len(v) for v in column.to_pylist()] == [7, 13, 25, 7]
+    assert (pivots.unpacked(column) == x).all()
+    assert (pivots.unpacked(column.slice(1, 2)) == x[1:3]).all()
+    assert np.allclose(pivots.units(column.slice(0, 3)), x[:3] / np.linalg.norm(x[:3], axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("member_pairs", [5, 1 << 20])
+def test_copies_of_an_epoch_are_one_place(spark, monkeypatch, member_pairs):
+    """Copies move and are multiplied once, and each still follows the one of them that the plain rule names."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    x = topics(rng, 160, 4, 0.0)
+    at = np.sort(rng.integers(0, 30, len(x)))
+    rows = [("r", f"n{k:03d}", int(at[k]) * 10 + k % 2, int(at[k]), int(at[k] + k % 7), bytearray(x[k].tobytes())) for k in range(len(x))]
+    df = spark.createDataFrame(rows, "run string, node string, us bigint, slice bigint, alive bigint, centroid binary")
+    assert pivots._places(df.withColumn("epoch", F.lit(0)), F.struct("us", "node", "slice", "alive")).count() == 4
+    queries = pivots._places(df.withColumn("epoch", F.lit(0)), F.struct("us", "node", "slice", "alive")).toArrow()
+    monkeypatch.setattr(pivots, "MEMBER_PAIRS", member_pairs)
+    found = pivots._Targets(queries).best(queries.combine_chunks().to_batches()[0], 0.7)
+    got = {src: dst for src, dst, _, _ in found}
+    want = {}
+    for k in range(len(x)):
+        c = np.round(x @ x[k], 9)
+        fit = [j for j in range(len(x)) if c[j] >= 0.7 and rows[j][2:0:-1] < rows[k][2:0:-1] and rows[j][3] <= at[k] <= rows[j][4]]
+        if fit:
+            want[rows[k][1]] = rows[min(fit, key=lambda j: (-c[j], rows[j][2], rows[j][1]))][1]
+    assert got == want
+
+
+def test_posts_with_vectors_are_not_broadcast(spark, monkeypatch):
+    """A table in a small file may be large in memory: doubtful sums meet their posts in a sorted join."""
+    from test_online import make_posts
+
+    plans, written = [], online.materialize
+
+    def noted(df, name):
+        if name == "impure":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(online, "materialize", noted)
+    q = np.linalg.qr(np.random.default_rng(4).normal(size=(16, 16)))[0]
+    us = 1_767_225_600_000_000 + np.arange(6) * 1_000_000
+    online.online_clusters(make_posts(spark, us, q[[0, 1, 2, 0, 1, 2]]), TrendParams(half_life_seconds=3600.0), bits=1, coarse_bits=1).count()
+    assert plans and all("strategy=merge" in plan for plan in plans)
