@@ -294,3 +294,18 @@ def test_labels_of_held_out_pages():
     pages = maintext.labelled_pages(120, 77)
     wrong = sum(int((d != np.array(y)).sum()) for d, (_, y) in zip(model.decode([p for p, _ in pages]), pages, strict=True))
     assert wrong < 0.01 * sum(len(y) for _, y in pages)
+
+
+def test_ids_of_many_texts_are_read_at_once():
+    """One gathering for all ids: only a text's own first piece loses its space, empty texts and broken bytes keep their places."""
+    import pyarrow as pa
+
+    machine = pieces.PieceTransducer(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["", " a  b", "", "x y\n z", "é\U0001f600"]
+    ids = [machine.encode(t) for t in texts] + [np.array([machine.bytes[0xFF], machine.bytes[0xC3]], np.int32)]
+    silent = machine.surfaces().index(b"")
+    ids += [np.array([silent], np.int32), np.append(np.int32(silent), machine.encode("a b"))]
+    cuts, flat = np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
+    read = pieces._read(pieces._surfaces(machine), flat, cuts)
+    assert read.type == pa.string() and read.to_pylist() == [machine.decode(i.tolist()) for i in ids]
+    assert read.to_pylist()[:5] == texts

@@ -21,6 +21,7 @@ A null text is empty; an empty text has no pieces. Every row gives a row, in all
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -240,7 +241,7 @@ class PieceTransducer:
         units = self.units.findall(self.normalise(text))
         for unit in set(units).difference(known):
             path = older.get(unit)
-            known[unit] = np.array(self.shortest_path(unit), np.int32).tobytes() if path is None else path
+            known[unit] = array("i", self.shortest_path(unit)).tobytes() if path is None else path
         return np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32)
 
     def decode(self, ids) -> str:
@@ -272,31 +273,43 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield first, len(texts)
 
 
-def _read(surfaces: list[bytes], drop: int, ids: list[np.ndarray]) -> pa.Array:
-    """The texts of id sequences; bytes that are no UTF-8 read as the replacement character."""
-    raw = [b"".join(map(surfaces.__getitem__, i.tolist())) for i in ids]
-    raw = [r[drop:] if r.startswith(b" ") else r for r in raw]
+def _surfaces(machine: PieceTransducer) -> pa.Array:
+    """The bytes each id writes, and behind them those it writes at the start of a text."""
+    plain = machine.surfaces()
+    return pa.array(plain + [p.removeprefix(b" ") if machine.prefix else p for p in plain], pa.large_binary())
+
+
+def _read(surfaces: pa.Array, flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The texts of id sequences, one behind the other; bytes that are no UTF-8 read as the replacement character."""
+    at = flat.astype(np.int64)
+    # the first id of each text that writes anything
+    wrote = np.append(np.flatnonzero(np.diff(np.frombuffer(surfaces.buffers()[1], np.int64, len(surfaces) + 1))[at] > 0), len(at))
+    first = wrote[np.searchsorted(wrote, cuts[:-1])]
+    at[np.unique(first[first < cuts[1:]])] += len(surfaces) // 2
+    written = surfaces.take(pa.array(at))
+    ends = np.frombuffer(written.buffers()[1], np.int64, len(at) + 1)[cuts]
+    raw = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(ends), written.buffers()[2]])
     try:
-        return pa.array(raw, pa.binary()).cast(pa.string())
+        return raw.cast(pa.large_string()).cast(pa.string())
     except pa.ArrowInvalid:
-        return pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
+        return pa.array([r.decode("utf-8", "replace") for r in raw.to_pylist()], pa.string())
 
 
 def _encoder(path: str, and_back: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = PieceTransducer(path)
-        surfaces, drop = machine.surfaces(), 1 if machine.prefix else 0
+        surfaces = _surfaces(machine)
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for first, last in _slices(texts):
                 ids = [machine.encode(t) for t in texts[first:last]]
-                cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids)))
+                cuts, flat = np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids)
+                values = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))
                 columns = [batch.column(0).slice(first, last - first), values]
                 if and_back:
-                    columns.append(_read(surfaces, drop, ids))
+                    columns.append(_read(surfaces, flat, cuts))
                 yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "text"][: len(columns)])
 
     return run
@@ -305,10 +318,11 @@ def _encoder(path: str, and_back: bool = False):
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = PieceTransducer(path)
-        surfaces, drop = machine.surfaces(), 1 if machine.prefix else 0
+        surfaces = _surfaces(machine)
         for batch in batches:
             ids = [i.values.to_numpy() if i.is_valid else np.zeros(0, np.int32) for i in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _read(surfaces, drop, ids)], ["row", "text"])
+            cuts, flat = np.cumsum([0, *map(len, ids)]), np.concatenate([np.zeros(0, np.int32), *ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _read(surfaces, flat, cuts)], ["row", "text"])
 
     return run
 
