@@ -125,3 +125,48 @@ def test_posts_with_vectors_are_not_broadcast(spark, monkeypatch):
     us = 1_767_225_600_000_000 + np.arange(6) * 1_000_000
     online.online_clusters(make_posts(spark, us, q[[0, 1, 2, 0, 1, 2]]), TrendParams(half_life_seconds=3600.0), bits=1, coarse_bits=1).count()
     assert plans and all("strategy=merge" in plan for plan in plans)
+
+
+def test_a_query_goes_to_each_part_once(spark, monkeypatch):
+    """Blocks of a part come one after another from files of the task, so places move once per part, not once per block."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    n, t, moved = 300, 0.6, []
+    x = topics(rng, n, 40, 0.3)
+    at = np.sort(rng.integers(0, 14, n))
+    rows = [("r", f"n{k:03d}", int(at[k]) * 10 + k % 3, int(at[k]), int(at[k]) + 1, bytearray(x[k].tobytes())) for k in range(n)]
+    df = spark.createDataFrame(rows, "run string, node string, us bigint, slice bigint, alive bigint, centroid binary")
+    plain = type(df).repartition
+
+    def counted(self, *args):
+        if "part" in args:
+            moved.append(self.count())
+        return plain(self, *args)
+
+    monkeypatch.setattr(type(df), "repartition", counted)
+    monkeypatch.setattr(pivots, "PARTS", 0.01)  # one part
+    got = {r["src"]: r["dst"] for r in pivots.most_similar_before(df, {"r": t}, F.lit(pivots.reach_of(t)), 16, 8).collect()}
+    assert moved == [2 * n]  # each as a target and as a query; 19 blocks before, and most queries in most of them
+    want = {}
+    for k in range(n):
+        c = np.round(x @ x[k], 9)
+        fit = [j for j in range(n) if c[j] >= t and (rows[j][2], rows[j][1]) < (rows[k][2], rows[k][1]) and at[j] <= at[k] <= rows[j][4]]
+        if fit:
+            want[rows[k][1]] = rows[min(fit, key=lambda j: (-c[j], rows[j][2], rows[j][1]))][1]
+    assert got == want
+
+
+def test_cells_meet_queries_in_bounded_memory():
+    """Many narrow cells and many queries: neither their angles nor their products are held at once."""
+    import tracemalloc
+
+    y = topics(np.random.default_rng(3), 6000, 3000, 0.02, dim=32)
+    cells = pivots.Cells(y)
+    assert len(cells.starts) > 2000
+    tracemalloc.start()
+    found = sum(len(a) for a, _, _ in cells.close(y, pivots.reach_of(0.95), np.full(len(y), 0.95)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == int((np.round(y @ y.T, 9) >= 0.95).sum())
+    assert peak < 45_000_000, peak
