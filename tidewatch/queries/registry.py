@@ -66,13 +66,18 @@ SQL_USER_POSTS = """user_posts AS (
   SELECT 'ev_' || event_id AS post_id, user_id AS cluster_id, ts FROM events)"""
 
 
+def _titled(docs: DataFrame) -> DataFrame:
+    """Adds the title before documents are joined, so that whole texts move only where they are read."""
+    return docs.withColumn("title", tx.title_prefix(F.col("text")))
+
+
 def doc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per document, at the time of the event of the same number, or that many seconds after the epoch where there is none."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _titled(table(spark, sf_dir, "documents"))
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     return docs.join(ev, F.col("doc_id") == F.col("event_id"), "left").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("post_id"),
-        tx.title_prefix(F.col("text")).alias("title"),
+        "title",
         "text",
         "source",
         F.concat(F.lit("p"), (F.coalesce("user_id", "doc_id") % 4).cast("string")).alias("platform"),
@@ -89,12 +94,12 @@ SQL_DOC_POSTS = """doc_posts AS (
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per event; texts come round-robin from the documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _titled(table(spark, sf_dir, "documents"))
     ev = table(spark, sf_dir, "events")
     n_docs = docs.count()
     return ev.join(docs, F.col("event_id") % n_docs == F.col("doc_id")).select(
         F.concat(F.lit("ev_"), F.col("event_id").cast("string")).alias("post_id"),
-        tx.title_prefix(F.col("text")).alias("title"),
+        "title",
         "text",
         F.col("event_type").alias("source"),
         F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("platform"),
