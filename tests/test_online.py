@@ -192,3 +192,22 @@ def test_components_match_union_find(spark):
             parent[max(ra, rb)] = min(ra, rb)
     got = connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).toPandas()
     assert dict(zip(got["node"], got["component"])) == {a: find(a) for a in parent}
+
+
+def test_many_leaders_are_scored_in_products(monkeypatch):
+    """Summaries of a wide group are scored some at a time and join what they join one by one, ties and moved leaders included."""
+    rng = np.random.default_rng(15)
+    base = rng.choice([-1.0, 1.0], size=(400, 64))
+    x = base[rng.integers(0, 400, 3000)] * np.where(rng.random((3000, 64)) < 1 / 16, -1.0, 1.0)
+    x[1000:1200] = x[:200]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    names, us, mass = [f"p{k}" for k in range(3000)], list(range(3000)), rng.random(3000).tolist()
+    one, many, products = online._Leaders(0.55, 64), online._Leaders(0.55, 64), []
+    scored = online._Leaders._join_scored
+    monkeypatch.setattr(online._Leaders, "_join_scored", lambda self, *a: products.append(len(a[0])) or scored(self, *a))
+    monkeypatch.setattr(online, "SCORED", 100)
+    want = [one.join(*row) for row in zip(names, us, x, unit, mass)]
+    assert many.join_all(names, us, x, unit, mass) == want
+    assert many.heads == one.heads and many.mass == one.mass
+    assert np.array_equal(many.sums[: len(one.heads)], one.sums[: len(one.heads)])
+    assert len(products) < 40 and sum(products) > 2000

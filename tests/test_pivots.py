@@ -1,6 +1,7 @@
 """Pivot search against all pairs, sums of cells against plain sums, and roots of forests."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.operators import online, pivots
@@ -170,3 +171,74 @@ def test_cells_meet_queries_in_bounded_memory():
     tracemalloc.stop()
     assert found == int((np.round(y @ y.T, 9) >= 0.95).sum())
     assert peak < 45_000_000, peak
+
+
+def blurred(rng, n, n_topics, dim=256):
+    """Signs of topics, a few of them turned in each row."""
+    base = rng.choice([-1.0, 1.0], size=(n_topics, dim))
+    return base[rng.integers(0, n_topics, n)] * np.where(rng.random((n, dim)) < 1 / 32, -1.0, 1.0)
+
+
+def places(x, us, slices, alive):
+    members = [[{"us": int(u), "node": f"n{k:05d}", "slice": int(s), "alive": int(a)}] for k, (u, s, a) in enumerate(zip(us, slices, alive))]
+    kind = pa.list_(pa.struct([("us", pa.int64()), ("node", pa.string()), ("slice", pa.int64()), ("alive", pa.int64())]))
+    return pa.RecordBatch.from_arrays([pivots.packed_whole(x), pa.array(members, kind)], names=["centroid", "members"])
+
+
+def test_blurred_topics_pass_over_one_another(monkeypatch):
+    """Many topics of few posts, none the same: a query is multiplied with its own topic and hardly another, and finds what all pairs find."""
+    rng = np.random.default_rng(12)
+    n, t = 4000, 0.55
+    x = blurred(rng, n, 500)
+    at = np.sort(rng.integers(0, 16, n))
+    us, alive, multiplied = at * 1000 + np.arange(n) % 7, at + 10, []
+    fit, pairs = pivots.Cells._fit, pivots.Cells.close_pairs
+
+    def noted_fit(self, queries, single, rows, part, least):
+        multiplied.append(len(rows) * (part.stop - part.start))
+        return fit(self, queries, single, rows, part, least)
+
+    def noted_pairs(self, queries, single, rows, cells, least, may):
+        multiplied.append(int((self.ends - self.starts)[cells].sum()))
+        return pairs(self, queries, single, rows, cells, least, may)
+
+    monkeypatch.setattr(pivots.Cells, "_fit", noted_fit)
+    monkeypatch.setattr(pivots.Cells, "close_pairs", noted_pairs)
+    part = pivots._Part(512, pivots.WINDOW)
+    batch = places(x, us, at, alive)
+    for query in (False, True):
+        for first in range(0, n, 1500):
+            part.add(batch.slice(first, 1500), query)
+    best = {}
+    for found in part.best(t):
+        for src, dst, when, cosine in found:
+            best[src] = min(best.get(src, (2,)), (-cosine, when, dst))
+    part.close()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    names, want = [f"n{k:05d}" for k in range(n)], {}
+    for k in range(n):
+        ok = np.flatnonzero((scores[k] >= t) & ((us < us[k]) | ((us == us[k]) & (np.arange(n) < k))) & (at <= at[k]) & (at[k] <= alive))
+        if len(ok):
+            want[names[k]] = min((-scores[k][j], us[j], names[j]) for j in ok)
+    assert best == want
+    assert sum(multiplied) < 0.03 * n * n, sum(multiplied) / n / n
+
+
+def test_chains_and_copies_in_one_group():
+    """Groups may be wider than a cell and larger than a block; rows with the same codes are one, and a wide group is divided."""
+    rng = np.random.default_rng(13)
+    turn = np.linspace(0, np.pi, 300)
+    x = np.zeros((300, 8))
+    x[:, 0], x[:, 1] = np.cos(turn), np.sin(turn)
+    groups = pivots.groups_of(pivots.sign_codes(x), x.astype(np.float32))
+    numbers = pivots.cells_of(x, np.zeros(300, np.int64))
+    assert len(set(groups.tolist())) < 20
+    assert len(set(numbers.tolist())) > 1
+    cells = pivots.Cells(x, numbers)
+    assert cells.radius.max() <= np.radians(pivots.WIDE) + 1e-9
+    copies = np.repeat(rng.normal(size=(3, 8)), 400, axis=0)
+    groups = pivots.groups_of(pivots.sign_codes(copies), copies.astype(np.float32))
+    assert len(set(groups.tolist())) <= 3
+    blocks = pivots._blocks(groups, 100)
+    assert np.bincount(blocks).max() <= 150 and set(blocks.tolist()) == set(range(blocks.max() + 1))
