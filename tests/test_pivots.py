@@ -242,3 +242,14 @@ def test_chains_and_copies_in_one_group():
     assert len(set(groups.tolist())) <= 3
     blocks = pivots._blocks(groups, 100)
     assert np.bincount(blocks).max() <= 150 and set(blocks.tolist()) == set(range(blocks.max() + 1))
+
+
+@pytest.mark.parametrize("kind, size", [(pa.float32(), 5), (pa.float64(), 8)])
+def test_raw_rows_come_back(kind, size):
+    """Vectors of posts move as binary values of their own width; nulls stay null."""
+    column = pa.array([[0.1, 2.0], None, [3.0, -4.25]], pa.list_(kind))
+    raw = pivots.packed_raw(column)
+    raw.validate(full=True)
+    assert raw.null_count == 1 and raw.to_pylist()[0][-1] == size
+    assert (pivots.matrix(raw.drop_null()) == pivots.matrix(column.drop_null())).all()
+    assert pivots.packed_raw(pa.array([None], pa.list_(kind))).to_pylist() == [None]
